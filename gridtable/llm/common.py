@@ -110,15 +110,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_table: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end) after ``fold_table`` (256 values, 1 or more)."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(fold_table[data] * _power_table("up", BASE, n), out=sums[1:])
-    down = _power_table("down", INVERSE, n + 1)
+def rolling(data: np.ndarray, fold_table: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``run_hashes`` takes the hash of any run of bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(fold_table[data] * _power_table("up", BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end)."""
+    down = _power_table("down", INVERSE, len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_table: np.ndarray) -> np.ndarray:
+    """``run_hashes`` after ``fold_table`` (256 values, 1 or more)."""
+    return run_hashes(rolling(data, fold_table), starts, ends)
+
+
+#: Bytes of letters, digits and everything beyond ASCII.
+ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Byte positions ``at`` in their ``row`` as code points since the start of that row."""
+    lead = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    return lead[at] - lead[offsets[row]]
+
+
 def lower_ascii() -> np.ndarray:
     """A fold table that maps A-Z to a-z and adds 1, so that no byte counts as nothing."""
     table = np.arange(256, dtype=np.uint64)

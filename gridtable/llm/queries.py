@@ -1,21 +1,54 @@
-"""The corpus queries: each applies one operator to its whole table."""
+"""The corpus queries: each applies one operator to its whole table and derives the columns of its contract."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridtable.llm import bbit_minhash
+from gridtable.llm import bbit_minhash, byte_bpe, cgk_decontam, entropy_secrets, toxicity_crf
+from gridtable.llm.common import fold
+
+MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_crf.score(docs, toxicity_crf.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", predicted, "n_spans", "offending")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), MULTILINGUAL, PATTERN)
+    both = byte_bpe.decode(encoded, MULTILINGUAL, PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return cgk_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = entropy_secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, "spans", "n_entropy")
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles and a similarity of 0.85, over all documents."""
     docs = table(spark, sf_dir, "documents")
     return bbit_minhash.near_duplicates(docs, bbit_minhash.Settings(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op10_bbit_minhash,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op5_byte_bpe, op6_cgk_decontam, op9_entropy_secrets, op10_bbit_minhash)}
 ORACLES: dict[str, str] = {}
