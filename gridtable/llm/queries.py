@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtable.llm import bbit_minhash, byte_bpe, cgk_decontam, elias_fano, entropy_secrets, projection_dedup, rendezvous, toxicity_crf
+from gridtable.llm import bbit_minhash, byte_bpe, byte_cnn, cgk_decontam, elias_fano, entropy_secrets, pii_bootstrap, projection_dedup, rendezvous, toxicity_crf
 from gridtable.llm.common import fold, scratch
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,13 @@ def op2_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii_bootstrap.find(table(spark, sf_dir, "documents"))
+    base = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base, "spans", "n_found")
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files and read back."""
     folder = f"{scratch(spark)}/ids"
@@ -54,6 +61,14 @@ def op6_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", predicted)
+
+
 def op8_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, linked at a cosine of 0.95."""
     return projection_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -77,9 +92,11 @@ QUERIES = {
     for f in (
         op1_toxicity_crf,
         op2_rendezvous,
+        op3_pii_bootstrap,
         op4_elias_fano,
         op5_byte_bpe,
         op6_cgk_decontam,
+        op7_byte_cnn,
         op8_projection_dedup,
         op9_entropy_secrets,
         op10_bbit_minhash,
