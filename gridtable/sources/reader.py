@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,22 @@ def stored_schema(spec: TableSpec, columns: list[str]) -> T.StructType:
     return T.StructType(fields + [T.StructField(c, T.LongType()) for c in spec.coordinates])
 
 
+_scans: OrderedDict[tuple, DataFrame] = OrderedDict()
+#: Segments whose file lists are kept; a segment never changes, so a list is never stale.
+LISTED = 1024
+
+
+def scan(spark: SparkSession, spec: TableSpec, path: str, columns: list[str]) -> DataFrame:
+    """The rows of one directory of a segment; its files are listed once."""
+    key = (spark.sparkContext.applicationId, id(spark), path, tuple(columns))
+    if key not in _scans:
+        _scans[key] = spark.read.schema(stored_schema(spec, columns)).parquet(path)
+        if len(_scans) > LISTED:
+            _scans.popitem(last=False)
+    _scans.move_to_end(key)
+    return _scans[key]
+
+
 def base_rows(spark: SparkSession, spec: TableSpec, state: State, columns: list[str], implied: Column | None) -> DataFrame:
     """(row id, txn, columns, coordinates) of the segments, before changes; ``implied`` prunes their partitions.
 
@@ -35,7 +52,7 @@ def base_rows(spark: SparkSession, spec: TableSpec, state: State, columns: list[
         parts = []
         for g in needed:
             own = [c for c in columns if groups.group(c) == g]
-            part = spark.read.schema(stored_schema(spec, own)).parquet(s.groups[g])
+            part = scan(spark, spec, s.groups[g], groups.columns(g)).select(*keys, *own)
             if s.without:
                 part = part.where(~F.col("__rb").isin(list(s.without)))
             parts.append(part if implied is None else part.where(implied))
