@@ -56,7 +56,8 @@ def base_rows(spark: SparkSession, spec: TableSpec, state: State, columns: list[
             if s.without:
                 part = part.where(~F.col("__rb").isin(list(s.without)))
             parts.append(part if implied is None else part.where(implied))
-        segments.append(vertical_join(parts, keys).select(*keys, *columns))
+        # The other coordinates follow from the row, and can be null.
+        segments.append(vertical_join(parts, [ROW_ID, TXN, "__rb"]).select(*keys, *columns))
     if not segments:
         return spark.createDataFrame([], T.StructType([f for f in stored_schema(spec, columns).fields])).select(*keys, *columns)
     return reduce(DataFrame.unionByName, segments)
