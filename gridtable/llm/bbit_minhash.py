@@ -3,10 +3,11 @@
 One pass over the texts gives each document the size and a 128-bit fingerprint of its shingle set, the
 band keys of its minima, and the low bits of the minima packed into a few longs. Documents of equal
 sets form a class that its least doc_id stands for; only classes go on. Classes that share a band key
-are candidates: each is held against the least class of its bucket, and where components still differ
-after that, what is unresolved is held against every member of the bucket. A pair is first estimated
-from the packed bits (matches corrected for chance collisions) and then confirmed on full sets. Nothing
-is capped: a bucket costs its size, and more only for members that its least member does not explain.
+are candidates: in a few turns each is held against one class of its bucket, another in each turn, and
+where components still differ after that, what is not in a bucket's largest component is held against
+every member, by longer signatures. A pair is first estimated from the packed bits (matches corrected
+for chance collisions) and then confirmed on full sets. Nothing is capped: a bucket costs its size, and
+more only for members that the turns do not explain.
 """
 
 from __future__ import annotations
@@ -34,13 +35,16 @@ PER_LONG = 64 // BITS
 class Settings:
     """shingle words a shingle; percent: the least Jaccard similarity; rows: minima a band; miss: the
     chance that a pair at the threshold shares no band; sigmas: how far below the threshold an
-    estimate may fall before a pair is given up."""
+    estimate may fall before a pair is given up; turns: members of a bucket that all others are held
+    against; fine: minima of the longer signatures."""
 
     shingle: int = 5
     percent: int = 80
     rows: int = 5
     miss: float = 1e-8
     sigmas: float = 5.5
+    turns: int = 3
+    fine: int = 2048
 
     @property
     def bands(self) -> int:
@@ -50,15 +54,14 @@ class Settings:
     def minima(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def longs(self) -> int:
-        return math.ceil(self.minima / PER_LONG)
-
-    @property
-    def most_mismatches(self) -> int:
+    def most_mismatches(self, minima: int) -> int:
         """Packed symbols that may differ in a pair at the threshold, with ``sigmas`` of slack."""
         miss = (1 - self.percent / 100) * (1 - 2.0**-BITS)
-        return math.ceil(self.minima * miss + self.sigmas * math.sqrt(self.minima * miss * (1 - miss)))
+        return math.ceil(minima * miss + self.sigmas * math.sqrt(minima * miss * (1 - miss)))
+
+
+def longs(minima: int) -> int:
+    return math.ceil(minima / PER_LONG)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,38 +97,48 @@ def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def mixed_minima(sets: np.ndarray, size: np.ndarray, number: int) -> np.ndarray:
+    """``number`` minima of each row's set under as many hash functions, mixed so that every bit is fair."""
+    rng = np.random.default_rng(11)
+    flip = rng.integers(0, 2**32, number, dtype=np.uint32)
+    times = rng.integers(0, 2**32, number, dtype=np.uint32) | np.uint32(1)
+    full = np.flatnonzero(size)
+    at = (np.cumsum(size) - size)[full]
+    minima = np.zeros((len(size), number), np.uint32)
+    if len(full):
+        short = (sets >> np.uint64(32)).astype(np.uint32)
+        for k in range(number):
+            minima[full, k] = np.minimum.reduceat((short ^ flip[k]) * times[k], at)
+    return mix(minima.astype(np.uint64) + np.uint64(1))
+
+
+def packed(wide: np.ndarray) -> np.ndarray:
+    """The low bits of the minima, 64 // BITS to a long."""
+    n = longs(wide.shape[1])
+    symbols = np.zeros((len(wide), n * PER_LONG), np.uint64)
+    symbols[:, : wide.shape[1]] = wide & np.uint64(2**BITS - 1)
+    shift = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)
+    return (symbols.reshape(-1, n, PER_LONG) << shift).sum(axis=2, dtype=np.uint64)
+
+
 def signer(s: Settings):
     """For mapInArrow: (doc_id, text) to (doc_id, n_shingles, print_a, print_b, bits, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(11)
-        flip = rng.integers(0, 2**32, s.minima, dtype=np.uint32)
-        times = rng.integers(0, 2**32, s.minima, dtype=np.uint32) | np.uint32(1)
-        weights = rng.integers(0, 2**63, (s.bands, s.rows), dtype=np.uint64) | np.uint64(1)
+        weights = np.random.default_rng(13).integers(0, 2**63, (s.bands, s.rows), dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, count = shingle_hashes(*utf8(part.column(1)), s.shingle)
                 sets, size = distinct_sets(hashes, count)
-                full = np.flatnonzero(size)
-                at = (np.cumsum(size) - size)[full]
-                minima = np.zeros((len(size), s.minima), np.uint32)
-                if len(full):
-                    short = (sets >> np.uint64(32)).astype(np.uint32)
-                    for k in range(s.minima):
-                        minima[full, k] = np.minimum.reduceat((short ^ flip[k]) * times[k], at)
-                wide = mix(minima.astype(np.uint64) + np.uint64(1))
+                wide = mixed_minima(sets, size, s.minima)
                 keys = mix((wide.reshape(-1, s.bands, s.rows) * weights).sum(axis=2, dtype=np.uint64))
-                symbols = np.zeros((len(size), s.longs * PER_LONG), np.uint64)
-                symbols[:, : s.minima] = wide & np.uint64(2**BITS - 1)
-                shift = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)
-                packed = (symbols.reshape(-1, s.longs, PER_LONG) << shift).sum(axis=2, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(size, pa.int64()),
                         pa.array(_sums(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), size).view(np.int64)),
                         pa.array(_sums(mix(sets + np.uint64(0x14057B7EF767814F)), size).view(np.int64)),
-                        _lists(packed),
+                        _lists(packed(wide)),
                         _lists(keys),
                     ],
                     names=["doc_id", "n_shingles", "print_a", "print_b", "bits", "keys"],
@@ -134,6 +147,19 @@ def signer(s: Settings):
     return run
 
 
+def fine_signer(s: Settings):
+    """For mapInArrow: (doc_id, text) to (doc_id, n, bits) with ``fine`` minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets, size = distinct_sets(*shingle_hashes(*utf8(part.column(1)), s.shingle))
+                bits = _lists(packed(mixed_minima(sets, size, s.fine)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), bits], names=["doc_id", "n", "bits"])
+
+    return run
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
     return pa.ListArray.from_arrays(pa.array(at), pa.array(x.reshape(-1).view(np.int64)))
@@ -153,14 +179,15 @@ def set_reader(s: Settings):
     return run
 
 
-def similar_bits(s: Settings, a: str, b: str) -> Column:
+def similar_bits(s: Settings, a: str, b: str, minima: int) -> Column:
     """Whether two packed signatures may belong to a pair at the threshold."""
-    low = F.lit(0x5555555555555555)
+    low = f"{0x5555555555555555}L"
+    n = longs(minima)
     total = F.lit(0)
-    for i in range(s.longs):
+    for i in range(n):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-    return total <= s.most_mismatches
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.expr(low)))
+    return total <= s.most_mismatches(minima)
 
 
 def similar_sizes(s: Settings, a: str, b: str) -> Column:
@@ -197,40 +224,51 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     heads = cut(heads.dropDuplicates(["doc_id", *key]))
 
     bands = heads.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    hubs = bands.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(bands.join(hubs.drop("n"), ["band", "key"]))
+    crowd = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    spots = cut(bands.join(crowd, ["band", "key"]).withColumn("c", F.col("doc_id")))
     sketch = heads.select("doc_id", F.col("n_shingles").alias("n"), "bits")
     a, b = sketch.toDF("a", "na", "xa"), sketch.toDF("b", "nb", "xb")
-    fits = similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb")
-
-    stars = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(docs, stars.join(a, "a").join(b, "b").where(fits), s)
-    copies = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = cut(links)
-    found = cut(components(links))
-
-    # Members whose component is not that of their bucket's least member, against the whole bucket.
-    where = found.toDF("doc_id", "c")
-    at_hub = found.toDF("hub", "ch")
-    placed = shared.join(where, "doc_id", "left").join(at_hub, "hub", "left")
-    own, theirs = F.coalesce("c", "doc_id"), F.coalesce("ch", "hub")
-    placed = placed.select("band", "key", "doc_id", own.alias("c"), (own != theirs).alias("open"))
-    placed = cut(placed)
-    opened = placed.where("open")
-    busy = opened.groupBy("band", "key").agg(F.count("*").alias("n")).drop("n")
-    rest = placed.join(busy, ["band", "key"]).join(sketch, "doc_id")
-    one = rest.where("open").select("band", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.lit(True).alias("oa"))
-    two = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("open").alias("ob"))
-    again = one.join(two, ["band", "key"]).where((F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & fits)
-    more = confirmed(docs, again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), s)
-    whole = components(links.union(more).union(copies))
-
+    fits = similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
+
+    links = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    for turn in range(s.turns):
+        if spots.isEmpty():
+            break
+        rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        hubs = spots.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "c")).alias("hub"))
+        stars = spots.join(hubs, ["band", "key"]).where("c <> hub.c")
+        stars = stars.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+        links = cut(links.union(confirmed(docs, stars.join(a, "a").join(b, "b").where(fits), s)))
+        found = cut(components(links)).toDF("doc_id", "now")
+        spots = spots.join(found, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("now", "doc_id").alias("c"))
+        mixed = spots.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        spots = cut(spots.join(mixed.select("band", "key"), ["band", "key"]))
+
+    whole = components(links) if spots.isEmpty() else components(links.union(unexplained(docs, spots, heads, s)))
     out = signed.select("doc_id", "n_shingles").join(whole.toDF("doc_id", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def unexplained(docs: DataFrame, spots: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) within buckets (band, key, doc_id, c: component) between components: what is not in its
+    bucket's largest component against the whole bucket, by the longer signatures."""
+    sizes = spots.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "c"))["c"].alias("most"))
+    ids = cut(spots.select("doc_id").distinct())
+    wanted = docs.join(bounded(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    fine = cut(wanted.mapInArrow(fine_signer(s), "doc_id long, n long, bits array<long>"))
+    keys = heads.select("doc_id", "keys").dropDuplicates(["doc_id"])
+    rest = spots.join(largest, ["band", "key"]).join(fine, "doc_id").join(keys, "doc_id").withColumn("open", F.col("c") != F.col("most"))
+    one = rest.where("open").select("band", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("keys").alias("ka"))
+    two = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("keys").alias("kb"), F.col("open").alias("ob"))
+    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    once = (F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & first  # in the first band that they share
+    again = one.join(two, ["band", "key"]).where(once & similar_sizes(s, "na", "nb")).where(similar_bits(s, "xa", "xb", s.fine))
+    return confirmed(docs, again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), s)
+
+
 def drop_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one of least doc_id; the columns stay.
 
