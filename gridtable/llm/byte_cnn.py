@@ -55,12 +55,19 @@ def lay(data: np.ndarray, offsets: np.ndarray) -> Laid:
     return Laid(out.reshape(-1, STEP), row, last, first, length)
 
 
-def responses(model: Model, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest response of each filter in each chunk, and the step where it is."""
+def convolved(model: Model, laid: Laid) -> np.ndarray:
+    """Responses of the filters at every step: chunks x CHUNK x FILTERS. A row's last step has no second half."""
     x = model.embed[laid.steps].reshape(len(laid.steps), STEP * EMBED)
+    second = x @ model.far
+    second[laid.first * CHUNK] = 0
     r = x @ model.near
-    r[:-1] += (x @ model.far)[1:]
-    r = r.reshape(-1, CHUNK, FILTERS)
+    r[:-1] += second[1:]
+    return r.reshape(-1, CHUNK, FILTERS)
+
+
+def responses(model: Model, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest response of each filter in each chunk, and the step where it is."""
+    r = convolved(model, laid)
     at = r.argmax(axis=1)
     best = np.take_along_axis(r, at[:, None, :], axis=1)[:, 0]
     at = at + np.arange(len(r))[:, None] * CHUNK
@@ -76,10 +83,7 @@ def responses(model: Model, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
 
 def greatest(model: Model, laid: Laid) -> np.ndarray:
     """``responses`` without the places."""
-    x = model.embed[laid.steps].reshape(len(laid.steps), STEP * EMBED)
-    r = x @ model.near
-    r[:-1] += (x @ model.far)[1:]
-    r = r.reshape(-1, CHUNK, FILTERS)
+    r = convolved(model, laid)
     best = r.max(axis=1)
     ahead = np.flatnonzero(~laid.last)
     best[ahead] = np.maximum(best[ahead], r[ahead + 1, :OVERLAP].max(axis=1))
@@ -132,14 +136,16 @@ def fit(texts: pa.Array, good: np.ndarray, epochs: int = 10, batch: int = 64) ->
             grads["bias"] = d.sum(axis=0)
             emb = model.embed[laid.steps].reshape(len(laid.steps), STEP * EMBED)
             emb = np.concatenate([emb, np.zeros((1, STEP * EMBED), np.float32)])
-            one, two = emb[at], emb[at + 1]  # chunks x FILTERS x STEP * EMBED
+            after = np.append(np.arange(1, len(laid.steps)), len(laid.steps))
+            after[laid.first[1:] * CHUNK - 1] = len(laid.steps)  # padding follows a row's last step
+            one, two = emb[at], emb[after[at]]  # chunks x FILTERS x STEP * EMBED
             grads["near"] = np.einsum("cf,cfk->kf", d, one)
             grads["far"] = np.einsum("cf,cfk->kf", d, two)
             steps = np.concatenate([laid.steps, np.zeros((1, STEP), np.uint8)])
             g = np.zeros((256, EMBED))
-            for half, weights in ((0, model.near), (1, model.far)):
+            for places, weights in ((at, model.near), (after[at], model.far)):
                 to = (d[:, :, None] * weights.T[None]).reshape(-1, EMBED)
-                which = steps[at + half].reshape(-1)
+                which = steps[places].reshape(-1)
                 for k in range(EMBED):
                     g[:, k] += np.bincount(which, to[:, k], minlength=256)
             g[0] = 0
