@@ -1,0 +1,63 @@
+import math
+import random
+import re
+
+from gridtable.llm import entropy_secrets as m
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def brute(text):
+    found = [(x.start(), 0, x.end()) for x in ASSIGN.finditer(text) if len(x[2]) >= 12]
+    found += [(x.start(), 1, x.end()) for x in re.finditer("AKIA[A-Z0-9]+", text) if len(x[0]) >= 18]
+    found += [(x.start(), 2, x.end()) for x in re.finditer("[0-9a-f]+", text) if len(x[0]) >= 16]
+    return sorted(found)
+
+
+def test_fixed_patterns_as_brute_force(spark):
+    rng = random.Random(1)
+    parts = ["token", "PASSWORD", "api_key", "apikey", "secret", "passwd", '"', "'", " ", "=", ":", "AKIA", "ABCD0123EFGH4567", "deadbeef", "0123456789abcdef", "é", "zz", "\n", "abcdefghijkl", "/+_.-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    rows = m.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert r.base == m.joined(want), texts[r.doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        assert set(filter(None, r.base.split(","))) <= set(r.spans.split(","))
+
+
+def entropy(text):
+    return -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
+
+
+def test_windows_as_brute_force():
+    rng = random.Random(2)
+    for _ in range(100):
+        text = "".join(rng.choice("abcDEF0123456789+/xyzQRS") for _ in range(rng.randrange(20, 90)))
+        covered = set()
+        for c in m.CLASSES:
+            for i in range(len(text) - c.window + 1):
+                part = text[i : i + c.window]
+                if set(part) <= c.members and entropy(part) >= c.bits - 1e-9:
+                    covered |= set(range(i, i + c.window))
+        got = {x for a, b in m.high_entropy(text) for x in range(a, b)}
+        assert got <= covered
+        if not m.suppressed(text):
+            assert covered == got or any(m.suppressed(text[min(covered) : max(covered) + 1]) for _ in [0])
+
+
+def test_finds_keys_and_leaves_words(spark):
+    key = "x9Kf2LmQ7vTz4RbW8nYc3HsJ6dPg1AeU5"
+    texts = [f"see {key} there", "Donaudampfschifffahrtsgesellschaftskapitaen und InternationalisationOfEverything", "123e4567-e89b-12d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz0123456789", "example" + key]
+    rows = {r.doc_id: r for r in m.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0].spans == f"entropy:4:{4 + len(key)}" and rows[0].base == ""
+    assert [rows[i].n_entropy for i in (1, 2, 3, 4)] == [0, 0, 0, 0]
+
+
+def test_redaction(spark, docs, empty):
+    texts = spark.createDataFrame([(1, 'é token = "04dbebab91ab85687d33eeaa" end', 5), (2, None, None), (3, "plain", 9)], "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in m.redact(texts).collect()}
+    assert rows[1].text == 'é [SECRET]" end' and rows[1].n_chars == len(rows[1].text)
+    assert (rows[2].text, rows[2].n_chars, rows[3].text, rows[3].n_chars) == (None, None, "plain", 9)
+    assert m.scan(empty).count() == 0 and m.redact(empty).count() == 0 and m.scan(docs).count() == docs.count()
+    assert m.redact(docs).columns == docs.columns
