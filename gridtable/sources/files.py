@@ -61,9 +61,6 @@ class Files:
     def delete(self, path: str) -> None:
         self._fs.delete(self._of(path), True)
 
-    def size(self, path: str) -> int:
-        return self._fs.getContentSummary(self._of(path)).getLength() if self.exists(path) else 0
-
     def data_files(self, path: str) -> list[tuple[str, int]]:
         """Paths below ``path``, relative to it, and sizes of the Parquet files there."""
         found, base = [], self._of(path)
