@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import ALNUM, code_points, fold, lower_ascii, rolling, run_hashes, slices, utf8, word_spans
+from gridtable.llm.common import ALNUM, code_points, fold, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
 
 #: Prefix lengths in bytes that are features; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6, 7, 8)
 SLOTS = 1 << 18
 #: Chains are cut into pieces of so many words, which bounds the number of steps.
 PIECE = 256
+#: Marginals below this are not added up: long texts have many words that are a little unlikely to be toxic.
+DOUBT = 0.1
 LOWER = lower_ascii()
 
 
@@ -69,6 +71,22 @@ def read_words(column: pa.Array) -> Words:
     return Words(data, offsets, starts, ends, row, features, np.bincount(row, minlength=len(offsets) - 1))
 
 
+def read_sample(texts: pa.Array) -> Words:
+    """The words of many rows without their bytes, read a few rows at a time to keep the driver's memory small."""
+    parts = [read_words(texts.slice(a, 128)) for a in range(0, len(texts), 128)]
+    none = np.zeros(0, np.int64)
+    row = [w.row + 128 * i for i, w in enumerate(parts)]
+    return Words(none, none, none, none, np.concatenate([none, *row]), np.concatenate([np.zeros((0, len(PREFIXES)), np.int32), *(w.features for w in parts)]), np.concatenate([none, *(w.count for w in parts)]))
+
+
+def potentials(features: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Each word's sum of weights, a feature at a time."""
+    total = np.full(len(features), bias)
+    for i in range(features.shape[1]):
+        total += weights[features[:, i]]
+    return total
+
+
 def pieces(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and length of the pieces of the chains, longest first."""
     per = -(-count // PIECE)
@@ -101,19 +119,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def marginals(words: Words, model: Model) -> np.ndarray:
-    unary = model.weights[words.features].sum(axis=1, dtype=np.float64) + model.bias
+    unary = potentials(words.features, model.weights, model.bias)
     ahead, back = forward_backward(unary, *pieces(words.count), model.moves)
     return sigmoid(ahead + back)
 
 
 def document_features(p: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A constant; the expected toxic words; their share; the greatest marginal; some at all; words with at least a half."""
+    """A constant; the expected toxic words, of marginals that matter; their share; the greatest marginal; some at all; words with at least a half."""
     full = np.flatnonzero(count)
     at = (np.cumsum(count) - count)[full]
     out = np.zeros((len(count), 6))
     out[:, 0] = 1
     if len(full):
-        total = np.add.reduceat(p, at)
+        total = np.add.reduceat(np.where(p >= DOUBT, p, 0.0), at)
         many = np.add.reduceat((p >= 0.5).astype(np.float64), at)
         out[full, 1:] = np.stack([np.log1p(total), np.minimum(1, 30 * total / count[full]), np.maximum.reduceat(p, at), np.minimum(many, 1), np.minimum(many, 4) / 4], axis=1)
     return out
@@ -152,21 +170,22 @@ def fit_field(words: Words, labels: np.ndarray, rounds: int = 30) -> Model:
     inner = np.ones(len(labels), bool)
     inner[first] = False
     later = np.flatnonzero(inner)
-    flat = words.features.ravel()
     weights, bias, moves = np.zeros(SLOTS, np.float32), -3.0, np.zeros((2, 2))
     squares, square_bias, square_moves = np.full(SLOTS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     seen = np.array([[np.sum((labels[later - 1] == i) & (labels[later] == j)) for j in (0, 1)] for i in (0, 1)], float)
     for _ in range(rounds):
-        unary = weights[words.features].sum(axis=1, dtype=np.float64) + bias
+        unary = potentials(words.features, weights, bias)
         ahead, back = forward_backward(unary, first, size, moves)
         p = sigmoid(ahead + back)
         miss = labels - p
-        a, x = ahead[later - 1], unary[later] + back[later]
-        joint = np.stack([np.full(len(later), moves[0, 0]), moves[0, 1] + x, moves[1, 0] + a, moves[1, 1] + a + x])
-        joint = np.exp(joint - joint.max(axis=0))
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        expected = np.zeros((2, 2))
+        for some in np.array_split(later, max(1, len(later) >> 17)):
+            a, x = ahead[some - 1], unary[some] + back[some]
+            joint = np.stack([np.full(len(some), moves[0, 0]), moves[0, 1] + x, moves[1, 0] + a, moves[1, 1] + a + x])
+            joint = np.exp(joint - joint.max(axis=0))
+            expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         scale = 1 / max(1.0, labels.sum())
-        g = np.bincount(flat, np.repeat(miss, len(PREFIXES)), minlength=SLOTS) * scale - 1e-5 * weights
+        g = sum(np.bincount(words.features[:, i], miss, minlength=SLOTS) for i in range(len(PREFIXES))) * scale - 1e-5 * weights
         squares += g * g
         weights += (0.5 * g / np.sqrt(squares)).astype(np.float32)
         gb = miss.sum() * scale
@@ -184,9 +203,9 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     if not len(toxic):
         return Model(np.zeros(SLOTS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(6))
     rest = np.arange(len(toxic)) % 3 == 0
-    own = read_words(texts.filter(pa.array(~rest)))
+    own = read_sample(texts.filter(pa.array(~rest)))
     model = fit_field(own, word_labels(own, toxic[~rest]).astype(np.float64))
-    seen = read_words(texts.filter(pa.array(rest)))
+    seen = read_sample(texts.filter(pa.array(rest)))
     x = document_features(marginals(seen, model), seen.count)
     model.document = logistic(x, toxic[rest].astype(np.float64), np.ones(rest.sum()))
     return model
@@ -206,7 +225,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = docs.where(F.length("text") <= sample.longest).join(chosen, "doc_id").select("doc_id", "text", "y").toArrow()
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
-    order = np.argsort(mixed(got["doc_id"].to_numpy()), kind="stable")
+    order = np.argsort(mix(got["doc_id"].to_numpy().view(np.uint64)), kind="stable")
     got = got.take(pa.array(order))
     y = got["y"].to_numpy()
     each = {k: total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
@@ -214,12 +233,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) ->
     return column, y, np.where(y == 1, each[1], each[0])
 
 
-def mixed(ids: np.ndarray) -> np.ndarray:
-    from gridtable.llm.common import mix
-
-    return mix(ids.astype(np.int64).view(np.uint64))
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """A model from the labels' ``toxic``; held-out rows, lang, source and ids give it nothing."""
     texts, y, weight = labelled(docs, labels, "toxic", sample)
