@@ -16,13 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from gridtable.llm.common import slices
+from gridtable.llm.pieces import Pieces, splitter
 
 #: Entries of the caches of each worker, which are emptied when they are full.
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 200_000, 300_000
 
 
 class Vocabulary:
@@ -45,8 +45,7 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+        return cls(read_ranks(path))
 
     def merged(self, text: bytes, below: int) -> list[int]:
         """Plain BPE with the merges of rank less than ``below``."""
@@ -113,6 +112,11 @@ class Prefixes:
         start, self.text = len(self.text), self.text + more
         self._extend(start, len(self.text))
 
+    def cut(self, n: int) -> None:
+        """Keep the first ``n`` bytes."""
+        self.text = self.text[:n]
+        del self.last[n + 1 :]
+
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of text[start:stop]; returns how many prefixes were computed."""
         old, shift = self.last, len(new) - (stop - start)
@@ -137,31 +141,32 @@ class Prefixes:
 
 
 class Encoder:
-    """Encodes each match of a pattern by itself; pieces seen before come from a bounded cache."""
+    """Encodes each match of a pattern by itself; pieces of earlier texts come from a bounded cache."""
 
     def __init__(self, path: str, pattern: str):
         self.v = Vocabulary.read(path)
-        self.split = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        whole = self.v.ranks.get(raw)
-        ids = [whole] if whole is not None else Prefixes(self.v, raw).ids()
-        if len(self.cache) >= PIECES:
-            self.cache.clear()
-        if len(piece) <= 64:
-            self.cache[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        known, new, out = self.cache.get, self.piece, []
-        for piece in self.split(text):
-            out += known(piece) or new(piece)
-        return out
+        self.pieces = Pieces(splitter(pattern), self.learn, PIECES)
+
+    def learn(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces. In sorted order each one shares a prefix's last tokens with the one before."""
+        rank, found, table = self.v.ranks.get, {}, Prefixes(self.v)
+        for raw in sorted(p.encode() for p in pieces):
+            whole = rank(raw)
+            if whole is not None:
+                found[raw] = [whole]
+                continue
+            shared = 0
+            for x, y in zip(raw, table.text, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            table.cut(shared)
+            table.append(raw[shared:])
+            found[raw] = table.ids()
+        return [found[p.encode()] for p in pieces]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.v.tokens.__getitem__, ids))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.pieces.encode(texts)
 
 
 @lru_cache(maxsize=2)
@@ -170,6 +175,21 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """All that decoding needs of a vocabulary."""
+    return {i: b for b, i in read_ranks(path).items()}
+
+
+def decoded(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids and the columns ``keep``): ids is binary, little-endian unsigned 32 bits an id.
 
@@ -181,8 +201,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [np.array(own.encode(t), "<u4") if t else np.zeros(0, "<u4") for t in part.column(0).to_pylist()]
+            for part in slices(batch, "text", 4 << 20):
+                ids = [x.astype("<u4", copy=False) for x in own.encode([t or "" for t in part.column(0).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     names=[*columns, "n_tokens", "ids"],
@@ -192,14 +212,14 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ())
     return docs.mapInArrow(run, f"{kinds}, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with a column ``decoded``: the bytes that its ids stand for."""
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        tokens = token_bytes(path)
         for batch in batches:
-            texts = [own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
+            texts = [decoded(x or b"", tokens) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

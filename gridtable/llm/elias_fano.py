@@ -15,12 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtable.llm.common import slices
+from gridtable.llm.pieces import Pieces, splitter
 
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK = 1 << 20
@@ -97,27 +97,15 @@ class Tokens:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.size = self.own.get_vocab_size()
-        self.split = regex.compile(pattern).findall if pattern else None
-        self.kept: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.split is None:
-            return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [self.split(t) for t in texts]
-        if len(self.kept) >= PIECES:
-            self.kept.clear()
-        kept = self.kept
-        new = [p for p in {p for ps in pieces for p in ps} if p not in kept]
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            kept.update((p, x.ids) for p, x in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        out = []
-        for ps in pieces:
-            ids: list[int] = []
-            for p in ps:
-                ids += kept[p]
-            out.append(ids)
-        return out
+        self.pieces = Pieces(splitter(pattern), self._ids, PIECES) if pattern else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for a in range(0, len(texts), 8192) for x in self.own.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.pieces is None:
+            return [np.array(x, np.uint32) for x in self._ids(texts)]
+        return self.pieces.encode(texts)
 
 
 @lru_cache(maxsize=1)
@@ -151,13 +139,12 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str | None = None, e
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in FILE.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 found = own.encode(part.column(1).to_pylist())
                 for doc_id, x in zip(part.column(0).to_pylist(), found, strict=True):
-                    x.append(end)
                     ids.append(doc_id)
-                    chunks.append(np.array(x, f"<u{width}"))
-                    count += len(x)
+                    chunks.append(np.append(x, np.uint32(end)).astype(f"<u{width}"))
+                    count += len(x) + 1
                     if count >= BLOCK:
                         yield row()
                         block, first, ids, chunks, count = block + 1, first + count, [], [], 0

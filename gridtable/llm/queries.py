@@ -52,7 +52,7 @@ def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), MULTILINGUAL, PATTERN)
-    both = byte_bpe.decode(encoded, MULTILINGUAL, PATTERN)
+    both = byte_bpe.decode(encoded, MULTILINGUAL)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
