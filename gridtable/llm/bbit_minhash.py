@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "print_a", "print_b"]
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    members = cut(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct())
+    # Nothing but the write follows this join, so that Spark can split a class of many copies.
+    members = cut(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep"))
     heads = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
     heads = cut(heads.dropDuplicates(["doc_id", *key]))
 
