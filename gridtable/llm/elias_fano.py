@@ -27,7 +27,7 @@ BLOCK = 1 << 20
 #: Ones between two samples of the select structure.
 SAMPLE = 64
 #: Pieces that a worker keeps the ids of; emptied when full.
-PIECES = 400_000
+PIECES = 1_000_000
 FILE = "shard int, block int, first long, n_docs int, n_ids long, width int, low_bits int, doc_ids array<long>, low binary, high binary, samples binary, ids binary"
 
 
@@ -139,7 +139,7 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str | None = None, e
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in FILE.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 found = own.encode(part.column(1).to_pylist())
                 for doc_id, x in zip(part.column(0).to_pylist(), found, strict=True):
                     ids.append(doc_id)
