@@ -1,19 +1,25 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass the vectors are sorted by a code of concatenated random hashes (quantized projections, the
-first of which decide most), and each is compared with a bounded window of its neighbours. A window in
-which a vector finds a link slides on as long as links are found, so that a dense group is followed
-to its end. Verified pairs are joined over all passes; then the links of each component are
-counted exactly, block against block, since a link never leaves a component.
+first of which decide most), and each is compared with a window of its neighbours on both sides. If the
+window holds all vectors that share the first k hashes with a vector (or these are joined with it
+already), a neighbour at the least cosine was missed with a chance that its place in its k cells gives.
+Passes go on until the product of these chances is at most ``miss`` for every vector, so that their
+number follows from the rows and how dense they lie; a vector that has come so far leaves, since all its
+pairs have come so far with it. What is left after the most passes is compared exactly, block against
+block. Verified pairs are joined over all passes; then the links of each component are counted
+exactly, since a link never leaves a component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +28,26 @@ from gridtable.llm.graph import components
 
 #: Vectors of a block in which the links of a component are counted.
 BLOCK = 512
+#: Windows of a span, the rows of a sorted order that one task compares.
+SPAN = 4
+#: Passes that run together.
+ROUND = 2
+#: Vectors of a block of those that are compared exactly.
+EXACT = 4096
+STATE = "a long, b long, gain double"  # an edge, or with null for b what a pass adds to the logarithm of a's chance
+ERF = np.vectorize(math.erf, otypes=[float])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """cosine: least similarity of a link; passes: sorted orders; window: neighbours compared on; hashes of
-    a code; cell: width of a hash's cell on the unit sphere's projections."""
+    """cosine: least similarity of a link; miss: greatest chance to miss a pair of that similarity; passes:
+    most sorted orders; window: neighbours compared on each side; hashes of a code; cell: width of a
+    hash's cell on the unit sphere's projections."""
 
     cosine: float = 0.95
-    passes: int = 12
-    window: int = 48
+    miss: float = 1e-4
+    passes: int = 64
+    window: int = 2048
     hashes: int = 24
     cell: float = 0.35
 
@@ -87,63 +103,150 @@ def valid(vectors: DataFrame, ids: str, vector: str) -> DataFrame:
     return rows.where(F.forall("d", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("d", lambda x: x != 0)).select("id", "v", F.size("v").alias("dims"))
 
 
-def neighbours(x: np.ndarray, ids: np.ndarray, s: Settings) -> set[tuple[int, int]]:
-    """Star edges of the groups that windows over rows in sorted order join."""
+def neighbours(x: np.ndarray, s: Settings) -> np.ndarray:
+    """For each row in sorted order the first row of the group that windows join it to."""
     n = len(x)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step, size = 256, s.window
+    root = np.arange(n)
+    step = 256
     for a in range(0, n, step):
         b = min(n, a + step)
-        start = a
+        start, stop = a, min(n, b + s.window)
         while start < n:
-            stop = min(n, (b if start == a else start) + size)
             close = x[a:b] @ x[start:stop].T >= s.cosine
-            i, j = np.nonzero(close)
-            i, j = i + a, j + start
-            keep = j > i
-            for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                p, q = find(p), find(q)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-            if stop == n or not (keep & (j >= stop - size)).any():
+            close &= np.arange(start, stop) > np.arange(a, b)[:, None]
+            for i in np.flatnonzero(close.any(axis=1)):
+                near = root[start + np.flatnonzero(close[i])]
+                if (near != root[a + i]).any():
+                    to = np.arange(n)
+                    to[near] = to[root[a + i]] = min(near.min(), root[a + i])
+                    root = to[root]
+            if stop == n or not close[:, -s.window :].any():
                 break
-            start, size = stop, max(s.window, step)
-        size = s.window
-    return {(int(ids[find(i)]), int(ids[i])) for i in range(n) if find(i) != i}
+            start, stop = stop, min(n, stop + max(s.window, step))
+    return root
+
+
+def stars(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    other = root != np.arange(len(root))
+    return ids[root[other]], ids[other]
+
+
+def gains(x: np.ndarray, code: np.ndarray, root: np.ndarray, turn: int, first: bool, last: bool, s: Settings) -> np.ndarray:
+    """Logarithms of the chances that the windows missed a neighbour at the least cosine, for each row in
+    sorted order. first, last: the rows begin or end the whole order; beyond another end nothing is known."""
+    n = len(x)
+    at = np.arange(n)
+    new = np.append(True, root[1:] != root[:-1])
+    begin = np.maximum.accumulate(np.where(new, at, 0))
+    end = np.minimum.accumulate(np.where(np.append(new[1:], True), at, n)[::-1])[::-1]
+    low, high = np.minimum(at - s.window, begin), np.maximum(at + s.window, end)
+    depth = np.full(n, s.hashes + 1)
+    differ = code[1:] != code[:-1]
+    shared = np.append(-1, np.where(differ.any(axis=1), differ.argmax(axis=1), s.hashes)) if n > 1 else np.array([-1])
+    for k in range(s.hashes, -1, -1):
+        new = shared < k
+        begin = np.maximum.accumulate(np.where(new, at, 0))
+        end = np.minimum.accumulate(np.where(np.append(new[1:], True), at, n)[::-1])[::-1]
+        whole = (begin >= low) & (end <= high) & (first | (begin > 0)) & (last | (end < n - 1))
+        depth[whole] = k
+    most = depth[depth <= s.hashes].max(initial=0)
+    directions, shift = projections(x.shape[1], turn, s)
+    width, spread = 3 * s.cell, math.sqrt(2 * (1 - s.cosine**2))
+    edge = (code[:, :most].astype(float) - 128) * width - shift[:most]
+    # A neighbour's projection is normal about the cosine times the row's own, whatever the direction's other parts.
+    middle = s.cosine * (x @ directions[:, :most])
+    stay = (ERF((edge + width - middle) / spread) - ERF((edge - middle) / spread)) / 2 if most else np.zeros((n, 0))
+    hit = np.column_stack([np.ones(n), np.cumprod(stay, axis=1), np.zeros(n)])[at, np.minimum(depth, most + 1)]
+    return np.log(np.maximum(1 - hit, 1e-300))
+
 
+def passes(heads: DataFrame, n: int, turn: int, s: Settings) -> DataFrame:
+    """STATE of the ``n`` vectors (id, v) after ROUND sorted orders from ``turn`` on.
 
-def passes(heads: DataFrame, turn: int, s: Settings) -> DataFrame:
-    """Edges (a, b) between vectors (id, v) that the windows of one sorted order join."""
+    A task compares a span of an order with the windows before and after it, wherever Spark's ranges end.
+    """
+    kind = heads.schema["v"].dataType.simpleString()
+    span = SPAN * s.window
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _ = matrix(batch.column(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes(x, turn, s), pa.binary())], names=["id", "v", "code"])
+            for t in range(turn, turn + ROUND):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t] * len(x), pa.int32()), pa.array(codes(x, t, s), pa.binary())], names=["id", "turn", "code"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None  # the rows that the next ones are still compared with
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            table = pa.Table.from_batches([batch]).select(["id", "v"])
-            table = table if kept is None else pa.concat_tables([kept, table])
-            x, _ = matrix(table["v"])
-            edges = sorted(neighbours(x, table["id"].to_numpy(), s))
-            if edges:
-                a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            kept = table.slice(max(0, table.num_rows - s.window))
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(k, part, np.int32)), pa.array(np.arange(done, done + k))], names=["id", "turn", "code", "part", "place"])
+            done += k
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        x, _ = matrix(group["v"])
+        ids, place = group["id"].to_numpy(), group["place"].to_numpy()
+        t, span_at = group["turn"][0].as_py(), group["span"][0].as_py()
+        root = neighbours(x, s)
+        a, b = stars(ids, root)
+        cells = np.frombuffer(b"".join(group["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+        gain = gains(x, cells, root, t, place[0] == 0, place[-1] == n - 1, s)
+        own = place // span == span_at
+        none = pa.nulls(int(own.sum()), pa.int64())
+        return pa.table({
+            "a": pa.array(np.concatenate([a, ids[own]]), pa.int64()),
+            "b": pa.chunked_array([pa.array(b, pa.int64()), none]),
+            "gain": pa.chunked_array([pa.nulls(len(a), pa.float64()), pa.array(gain[own], pa.float64())]),
+        })
 
-    kind = heads.schema["v"].dataType.simpleString()
-    coded = heads.select("id", "v").mapInArrow(code, f"id long, v {kind}, code binary")
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = coded.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id")
-    return spread.mapInArrow(compare, "a long, b long")
+    coded = heads.select("id", "v").mapInArrow(code, "id long, turn int, code binary")
+    spread = coded.repartitionByRange(parts, "turn", "code", "id").sortWithinPartitions("turn", "code", "id")
+    numbered = cut(spread.mapInArrow(number, "id long, turn int, code binary, part int, place long"))
+    before, total = [], 0
+    for part, rows in sorted(map(tuple, numbered.groupBy("part").count().collect())):
+        before.append((part, total))
+        total += rows
+    before = heads.sparkSession.createDataFrame(before, "part int, before long")
+    placed = numbered.join(F.broadcast(before), "part")
+    placed = placed.withColumn("place", F.col("place") + F.col("before") - (F.col("turn") - turn) * n)
+    near = [F.floor((F.col("place") + d) / span).cast("int") for d in (-s.window, 0, s.window)]
+    placed = placed.select("id", "turn", "code", "place", F.explode(F.array_distinct(F.array(*near))).alias("span"))
+    placed = placed.where((F.col("span") >= 0) & (F.col("span") <= (n - 1) // span))
+    whole = placed.join(heads.select("id", "v"), "id").select("id", "turn", "span", "place", "code", F.col("v").cast(kind))
+    return whole.groupBy("turn", "span").applyInArrow(compare, STATE)
+
+
+def exact(heads: DataFrame, n: int, s: Settings) -> DataFrame:
+    """Edges (a, b) that join all links among the ``n`` vectors (id, v), each block compared with each."""
+    blocks = -(-n // EXACT)
+
+    def compare(group: pa.Table) -> pa.Table:
+        x, _ = matrix(group["v"])
+        a, b = stars(group["id"].to_numpy(), neighbours(x, replace(s, window=len(x))))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    placed = heads.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = both.select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "v")
+    return both.groupBy("bi", "bj").applyInArrow(compare, "a long, b long")
+
+
+def joined(heads: DataFrame, s: Settings) -> list[DataFrame]:
+    """Edges (a, b) that join the links among vectors (id, v) of one length."""
+    edges, turn = [], 0
+    left = heads.select("id", F.lit(0.0).alias("chance"))
+    while n := left.count():
+        rows = heads.join(left, "id", "left_semi") if turn else heads
+        if turn >= s.passes:
+            edges.append(cut(exact(rows, n, s)))
+            break
+        state = cut(passes(rows, n, turn, s))
+        edges.append(state.where("b IS NOT NULL").select("a", "b"))
+        gained = state.where("b IS NULL").select(F.col("a").alias("id"), F.col("gain").alias("chance"))
+        left = left.union(gained).groupBy("id").agg(F.sum("chance").alias("chance"))
+        left = cut(left.where(F.col("chance") > math.log(s.miss)))
+        turn += ROUND
+    return edges
 
 
 def count_links(group: pa.Table, s: Settings) -> pa.Table:
@@ -179,8 +282,8 @@ def near_vectors(vectors: DataFrame, ids: str = "vec_id", vector: str = "embeddi
     edges = same.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     for (dims,) in heads.select("dims").distinct().collect():
         own = heads.where(F.col("dims") == dims)
-        for turn in range(s.passes):
-            edges = edges.union(cut(passes(own, turn, s)))
+        for more in joined(own, s):
+            edges = edges.union(more)
     found = cut(components(edges))
 
     placed = heads.join(found.toDF("id", "c"), "id")

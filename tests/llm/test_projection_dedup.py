@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from gridtable.llm import projection_dedup as m
 
@@ -49,3 +50,36 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert m.near_vectors(none).count() == 0
+
+
+def planted(rng, pairs, background):
+    """Unit vectors: the background, then pairs at a cosine of 0.951, one beside a background vector each."""
+    x = background / np.linalg.norm(background, axis=1, keepdims=True)
+    one = x[rng.choice(len(x), pairs, replace=False)]
+    off = rng.standard_normal(one.shape)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    two = 0.951 * one + np.sqrt(1 - 0.951**2) * off
+    return x, one, two
+
+
+def test_recall_of_isolated_pairs_in_clusters(spark):
+    rng = np.random.default_rng(5)
+    dims, rows, pairs = 64, 200_000, 2_000
+    centres = rng.standard_normal((50, dims)) * np.sqrt(0.74)
+    x, _, two = planted(rng, pairs, centres[rng.integers(0, 50, rows)] + np.sqrt(0.26) * rng.standard_normal((rows, dims)))
+    every = np.concatenate([x, two]).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(every)), "embedding": pa.FixedSizeListArray.from_arrays(every.ravel(), dims).cast(pa.list_(pa.float32()))})
+    got = m.near_vectors(spark.createDataFrame(table)).where(f"vec_id >= {rows}").toPandas()
+    recall = (got.n_links > 0).mean()
+    print("recall", recall)
+    assert len(got) == pairs and recall >= 0.999
+
+
+def test_what_passes_leave_is_compared_exactly(spark):
+    rng = np.random.default_rng(6)
+    _, one, two = planted(rng, 300, rng.standard_normal((600, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([one, two]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in m.near_vectors(table, s=m.Settings(passes=0)).collect()}
+    assert got == brute(rows, 0.95)
