@@ -83,3 +83,19 @@ def test_what_passes_leave_is_compared_exactly(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in m.near_vectors(table, s=m.Settings(passes=0)).collect()}
     assert got == brute(rows, 0.95)
+
+
+def test_windows_cross_the_borders_of_ranges(spark):
+    rng = np.random.default_rng(7)
+    _, one, two = planted(rng, 300, rng.standard_normal((600, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([one, two]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    try:
+        heads = table.toDF("id", "v")
+        state = m.passes(heads, len(rows), 0, m.Settings()).where("b IS NOT NULL").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    found = {r.b for r in state} | {r.a for r in state}
+    assert found == {i for i, (n, _) in brute(rows, 0.95).items() if n}
