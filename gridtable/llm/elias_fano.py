@@ -89,13 +89,17 @@ class EliasFano:
 
 
 class Tokens:
-    """A tokenizer of the tokenizers library. With the pattern by which it splits texts, pieces are encoded once and kept."""
+    """A tokenizer of the tokenizers library. With the pattern by which it splits texts, pieces are encoded once and kept.
 
-    def __init__(self, path: str, pattern: str | None):
+    ``plain``: the literal of a special token is text like any other; else texts that hold an added token go whole through the library.
+    """
+
+    def __init__(self, path: str, pattern: str | None, plain: bool = True):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.size = self.own.get_vocab_size()
         self.pieces = Pieces(splitter(pattern), self._ids, PIECES) if pattern else None
 
@@ -105,20 +109,26 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.pieces is None:
             return [np.array(x, np.uint32) for x in self._ids(texts)]
-        return self.pieces.encode(texts)
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.pieces.encode(texts)
+        out = self.pieces.encode(["" if any(a in t for a in self.added) else t for t in texts])
+        for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = np.array(x, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=1)
-def tokens(path: str, pattern: str | None) -> Tokens:
+def tokens(path: str, pattern: str | None, plain: bool = True) -> Tokens:
     """One for each worker process."""
-    return Tokens(path, pattern)
+    return Tokens(path, pattern, plain)
 
 
-def write(docs: DataFrame, folder: str, path: str, pattern: str | None = None, end: int = 0) -> None:
+def write(docs: DataFrame, folder: str, path: str, pattern: str | None = None, end: int = 0, plain: bool = True) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ``folder``, in ascending order of doc_id, ``end`` after each document.
 
     A null text is empty and has the end id alone. Rows of one doc_id follow each other by text; those
-    without doc_id come first. Other columns are not read. The documents are dealt out by ranges of
+    without doc_id come first. ``plain`` as in Tokens. Other columns are not read. The documents are dealt out by ranges of
     doc_id, one shard a task, so that the shards in order are the corpus in order.
     """
     spark = docs.sparkSession
@@ -127,7 +137,7 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str | None = None, e
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = tokens(path, pattern), TaskContext.get().partitionId()
+        own, shard = tokens(path, pattern, plain), TaskContext.get().partitionId()
         width = 2 if own.size <= 1 << 16 and end < 1 << 16 else 4
         block, first, ids, chunks, count = 0, 0, [], [], 0
 

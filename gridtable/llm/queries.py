@@ -45,7 +45,7 @@ def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files and read back."""
     folder = f"{scratch(spark)}/ids"
-    elias_fano.write(table(spark, sf_dir, "documents"), folder, BYTE_LEVEL, PATTERN, end=0)
+    elias_fano.write(table(spark, sf_dir, "documents"), folder, BYTE_LEVEL, PATTERN, end=0, plain=False)
     return elias_fano.read(folder, spark).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

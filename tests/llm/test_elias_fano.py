@@ -61,3 +61,17 @@ def test_order(spark, tmp_path):
 def test_empty(spark, tmp_path, empty):
     m.write(empty, f"file://{tmp_path}/none", BYTE_LEVEL, PATTERN)
     assert m.read(f"file://{tmp_path}/none", spark).count() == 0
+
+
+def test_query_gives_the_ids_of_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from gridtable.llm.queries import op4_elias_fano
+
+    own = Tokenizer.from_file(BYTE_LEVEL)
+    texts = ["plain text", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|>\n y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op4_elias_fano(spark, f"file://{tmp_path}").collect()}
+    want = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert 50256 in want[1]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
