@@ -135,9 +135,7 @@ def signer(s: Settings):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array(size, pa.int64()),
-                        pa.array(_sums(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), size).view(np.int64)),
-                        pa.array(_sums(mix(sets + np.uint64(0x14057B7EF767814F)), size).view(np.int64)),
+                        *prints(sets, size),
                         _lists(packed(wide)),
                         _lists(keys),
                     ],
@@ -148,18 +146,25 @@ def signer(s: Settings):
 
 
 def fine_signer(s: Settings):
-    """For mapInArrow: (doc_id, text) to (doc_id, n, bits) with ``fine`` minima."""
+    """For mapInArrow: (doc_id, text) to (doc_id, n, print_a, print_b, bits) with ``fine`` minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets, size = distinct_sets(*shingle_hashes(*utf8(part.column(1)), s.shingle))
                 bits = _lists(packed(mixed_minima(sets, size, s.fine)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), bits], names=["doc_id", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *prints(sets, size), bits], names=["doc_id", "n", "print_a", "print_b", "bits"])
 
     return run
 
 
+def prints(sets: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """n_shingles, print_a and print_b of each row's set."""
+    a = _sums(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), size)
+    b = _sums(mix(sets + np.uint64(0x14057B7EF767814F)), size)
+    return [pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
     return pa.ListArray.from_arrays(pa.array(at), pa.array(x.reshape(-1).view(np.int64)))
@@ -258,10 +263,15 @@ def unexplained(docs: DataFrame, spots: DataFrame, heads: DataFrame, s: Settings
     sizes = spots.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "c"))["c"].alias("most"))
     ids = cut(spots.select("doc_id").distinct())
-    wanted = docs.join(bounded(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    fine = cut(wanted.mapInArrow(fine_signer(s), "doc_id long, n long, bits array<long>"))
-    keys = heads.select("doc_id", "keys").dropDuplicates(["doc_id"])
-    rest = spots.join(largest, ["band", "key"]).join(fine, "doc_id").join(keys, "doc_id").withColumn("open", F.col("c") != F.col("most"))
+    wanted = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
+    fine = wanted.mapInArrow(fine_signer(s), "doc_id long, n long, print_a long, print_b long, bits array<long>")
+    # An id may have several sets: each has its own signature and keys, and is in the buckets of its keys.
+    same = ["doc_id", "n", "print_a", "print_b"]
+    keys = heads.withColumnRenamed("n_shingles", "n").select(*same, "keys")
+    fine = cut(fine.dropDuplicates(same).join(keys, same).select("doc_id", "n", "bits", "keys"))
+    spots = spots.dropDuplicates(["band", "key", "doc_id"])
+    rest = spots.join(largest, ["band", "key"]).join(fine, "doc_id").withColumn("open", F.col("c") != F.col("most"))
+    rest = rest.where(F.element_at("keys", F.col("band") + 1) == F.col("key"))
     one = rest.where("open").select("band", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("keys").alias("ka"))
     two = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("keys").alias("kb"), F.col("open").alias("ob"))
     first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1

@@ -84,3 +84,13 @@ def test_clashing_columns(spark):
 def test_estimate_is_safe(minima):
     s = m.Settings(shingle=3, percent=85)
     assert s.most_mismatches(minima) / minima > 0.15 * 0.75
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    words = [[f"{p}{i}" for i in range(200)] for p in "abcd"]
+    rows = []
+    for i, w in enumerate(words):
+        rows += [(1, " ".join(w)), (10 + i, " ".join([*w[:199], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = m.near_duplicates(docs, m.Settings(turns=0)).collect()  # all is left to the last step
+    assert {r.component_id for r in got} == {1}
