@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtable.llm.common import slices
-from gridtable.llm.pieces import Pieces, splitter
+from gridtable.llm.common import arrow, binary, slices, utf8
+from gridtable.llm.pieces import Pieces
 
-#: Entries of the caches of each worker, which are emptied when they are full.
-PIECES, PAIRS = 200_000, 300_000
+#: Pieces and pairs of tokens that a worker keeps; of the pieces half are forgotten when there are more, of the pairs all.
+PIECES, PAIRS = 400_000, 300_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 
 
 class Vocabulary:
@@ -141,16 +143,16 @@ class Prefixes:
 
 
 class Encoder:
-    """Encodes each match of a pattern by itself; pieces of earlier texts come from a bounded cache."""
+    """Encodes each match of a pattern by itself; pieces of earlier texts come from a bounded table."""
 
     def __init__(self, path: str, pattern: str):
         self.v = Vocabulary.read(path)
-        self.pieces = Pieces(splitter(pattern), self.learn, PIECES)
+        self.pieces = Pieces(pattern, self.learn, PIECES)
 
-    def learn(self, pieces: list[str]) -> list[list[int]]:
+    def learn(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of pieces. In sorted order each one shares a prefix's last tokens with the one before."""
         rank, found, table = self.v.ranks.get, {}, Prefixes(self.v)
-        for raw in sorted(p.encode() for p in pieces):
+        for raw in sorted(pieces):
             whole = rank(raw)
             if whole is not None:
                 found[raw] = [whole]
@@ -163,13 +165,14 @@ class Encoder:
             table.cut(shared)
             table.append(raw[shared:])
             found[raw] = table.ids()
-        return [found[p.encode()] for p in pieces]
+        return [found[p] for p in pieces]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.pieces.encode(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, concatenated, and the offsets of the texts among them; null is empty."""
+        return self.pieces.encode(*utf8(texts))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process."""
     return Encoder(path, pattern)
@@ -180,7 +183,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def token_bytes(path: str) -> dict[int, bytes]:
     """All that decoding needs of a vocabulary."""
     return {i: b for b, i in read_ranks(path).items()}
@@ -201,15 +204,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids = [x.astype("<u4", copy=False) for x in own.encode([t or "" for t in part.column(0).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=[*columns, "n_tokens", "ids"],
-                )
+            for part in slices(batch, "text", SLICE):
+                ids, upto = own.encode(part.column(0))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(upto)), binary(ids.astype("<u4", copy=False), upto)], names=[*columns, "n_tokens", "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
-    return docs.mapInArrow(run, f"{kinds}, n_tokens long, ids binary")
+    return arrow(docs, run, f"{kinds}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -223,4 +223,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+    return arrow(encoded, run, f"{kinds}, decoded binary")

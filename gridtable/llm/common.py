@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which an id list may be broadcast: 8 bytes each, so about 16 MB.
 BROADCAST_IDS = 1_000_000
@@ -41,6 +42,19 @@ def bounded(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge")
 
 
+#: Bytes of a batch of rows between Spark and Python; a longer row is a batch of its own.
+BATCH = 4 << 20
+LIMIT, DEFAULT_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH bytes. The limit is a setting of the session, which keeps it if it has none of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(LIMIT) == DEFAULT_LIMIT:
+        conf.set(LIMIT, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``most`` bytes of text, or one longer row."""
     if not batch.num_rows:
@@ -69,6 +83,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary(values: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """A binary column: the bytes of values[upto[i]:upto[i + 1]] in row i."""
+    at = (upto * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 #: Base of the rolling hash, odd, and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

@@ -11,8 +11,8 @@ from gridtable.llm.queries import BYTE_LEVEL, PATTERN
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 2, 3, 4], [7] * 300, list(range(0, 100_000, 37))])
 def test_sequences(values):
     e = m.EliasFano.of(np.array(values, np.int64))
-    assert e.all().tolist() == values
     assert [e.select(i) for i in range(len(values))] == values
+    assert e.selected(np.arange(len(values))).tolist() == values
     with pytest.raises(IndexError):
         e.select(len(values))
 
@@ -22,7 +22,9 @@ def test_random_and_size():
     for _ in range(30):
         values = np.sort(rng.integers(0, rng.integers(1, 10**7), rng.integers(1, 3000)))
         e = m.EliasFano.of(values)
-        assert (e.all() == values).all() and all(e.select(int(i)) == values[i] for i in rng.integers(0, len(values), 20))
+        some = rng.integers(0, len(values), 20)
+        assert (e.selected(np.arange(len(values))) == values).all() and (e.selected(some) == values[some]).all()
+        assert all(e.select(int(i)) == values[i] for i in some)
     values = np.cumsum(rng.integers(1, 2000, 10_000))
     assert m.EliasFano.of(values).size * 8 < 10_000 * (2 + np.log2(values[-1] / 10_000) + 1.5)
 
@@ -58,6 +60,26 @@ def test_order(spark, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
 
 
+def test_single_documents(spark, tmp_path):
+    rows = [(i % 400, "w" * (i % 7) + " x" * (i % 5)) for i in range(500)] + [(None, "none")]
+    folder = f"file://{tmp_path}/some"
+    m.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, BYTE_LEVEL, PATTERN)
+    whole = [tuple(r) for r in m.read(folder, spark).collect()]
+    for only in ([], [5], [399, 0, 17, 1000]):
+        assert sorted(map(tuple, m.read(folder, spark, only).collect())) == sorted(r for r in whole if r[0] in only)
+
+
+def test_one_id_is_dealt_out(spark, tmp_path):
+    """Rows without an id, or all of one, fall into several shards and stay in order."""
+    rows = [(None if i % 3 else 7, f"text {i % 50}", i) for i in range(3000)]
+    folder = f"file://{tmp_path}/hot"
+    m.write(spark.createDataFrame(rows, "doc_id long, text string, shard int"), folder, BYTE_LEVEL, PATTERN)
+    assert spark.read.parquet(folder).select("shard").distinct().count() > 2
+    got = sorted(m.read(folder, spark).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2000 + [7] * 1000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_empty(spark, tmp_path, empty):
     m.write(empty, f"file://{tmp_path}/none", BYTE_LEVEL, PATTERN)
     assert m.read(f"file://{tmp_path}/none", spark).count() == 0
