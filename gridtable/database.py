@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,14 @@ class Database:
     def create_table(self, spec: TableSpec, replace: bool = False) -> TableSpec:
         """Make a table; a name that is taken is an error unless ``replace``, which changes the specification alone
         and so must leave the columns and axes as they are if there are rows."""
-        if spec.name in self.catalog.tables():
+        there = spec.name in self.catalog.tables()
+        if there:
             if not replace:
                 raise ConfigError(f"table {spec.name!r} is there already")
             old = self.catalog.spec(spec.name)
             if self.catalog.state(spec.name).segments and old != spec:
                 raise ConfigError(f"table {spec.name!r} has rows of another specification")
-        self.catalog.save_spec(spec, new=spec.name not in self.catalog.tables())
+        self.catalog.save_spec(spec, new=not there)
         return spec
 
     def create_table_from_yaml(self, path: str) -> TableSpec:
@@ -56,7 +58,7 @@ class Database:
         self.cache.invalidate(table)
         for path in (self.files.path("_meta", table), self.files.path(table)):
             self.files.delete(path)
-        del self.catalog._specs[table], self.catalog._states[table]
+        self.catalog.forget(table)
 
     # Writing
 
@@ -84,9 +86,9 @@ class Database:
     def stream_inserter(self, table: str, config: StreamConfig | None = None) -> StreamInserter:
         return StreamInserter(self.writer(table), config, lambda: self.cache.invalidate(table))
 
-    def stream_sink(self, table: str, stream: DataFrame, query_id: str, checkpoint: str):
-        """A Structured Streaming writer into the table; start it with a trigger."""
-        return sink(stream, self.writer(table), query_id, checkpoint)
+    def stream_sink(self, table: str, stream: DataFrame, query_id: str, checkpoint: str, most_segments: int = 64):
+        """A Structured Streaming writer into the table; start it with a trigger. Segments are joined beyond ``most_segments``."""
+        return sink(stream, self.writer(table), query_id, checkpoint, lambda: self.merge_segments(table, most_segments))
 
     # Reading
 
@@ -114,11 +116,29 @@ class Database:
             log = log.where(F.col("__txn") > after)
         return log if up_to is None else log.where(F.col("__txn") <= up_to)
 
+    def dirty_chunks(self, table: str) -> DataFrame:
+        """The row buckets with logged operations: __rb, how many, the last one's transaction."""
+        spec = self.catalog.spec(table)
+        bucket = coords.row_bucket(F.col(ROW_ID), spec).alias("__rb")
+        return self.change_log(table).groupBy(bucket).agg(F.count("*").alias("entries"), F.max("__txn").alias("max_txn"))
+
+    def has_patches(self, table: str, row_bucket: int | None = None) -> bool:
+        """Whether there are logged operations, in a row bucket or at all; the latter from the state alone."""
+        if row_bucket is None:
+            return any(c.entries for c in self.catalog.state(table).changes)
+        return not self.dirty_chunks(table).where(F.col("__rb") == row_bucket).isEmpty()
+
+    def max_patch_txn(self, table: str) -> int | None:
+        """The last transaction that logged operations, from the state alone."""
+        return max((c.txn for c in self.catalog.state(table).changes if c.entries), default=None)
+
     def chunks(self, table: str) -> DataFrame:
-        """Rows for each place that the base rows lie in: the coordinates, segment transactions, rows."""
+        """Rows for each place that the base rows lie in: the coordinates, last segment's transaction, rows. The
+        coordinates are names of directories and the rows are in the files' footers, so no column is read."""
         spec, state = self.catalog.spec(table), self.catalog.state(table)
-        base = reader.base_rows(self.spark, spec, state, [], None)
-        return base.groupBy(*spec.coordinates).agg(F.max("__txn").alias("version"), F.count("*").alias("rows"))
+        parts = [reader.segment_places(self.spark, spec, s) for s in state.segments]
+        whole = reduce(DataFrame.unionByName, parts) if parts else reader.base_rows(self.spark, spec, state, [], None).select(*spec.coordinates, F.col("__txn").alias("version"), F.lit(0).alias("rows"))
+        return whole.groupBy(*spec.coordinates).agg(F.max("version").alias("version"), F.sum("rows").alias("rows"))
 
     def range_stats(self, table: str) -> DataFrame:
         """Least and greatest value ever written to each range dimension, and how many values were."""
@@ -144,6 +164,8 @@ class Database:
 
         def due() -> bool:
             state = self.catalog.state(table)
+            if len(state.segments) > config.max_segments:
+                return True
             total = sum(c.entries for c in state.changes)
             if total >= config.max_total_patches:
                 return True
@@ -153,8 +175,22 @@ class Database:
             busiest = log.groupBy(coords.row_bucket(F.col(ROW_ID), spec).alias("b")).count().agg(F.max("count")).first()[0]
             return busiest >= config.max_patches_per_chunk
 
-        return CompactionHandle(lambda: self.compact(table), due, config.interval)
+        def run() -> CompactionResult:
+            merged = self.merge_segments(table, config.max_segments)
+            return merged if merged.chunks_compacted and not self.has_patches(table) else self.compact(table)
+
+        return CompactionHandle(run, due, config.interval)
+
+    def merge_segments(self, table: str, most: int) -> CompactionResult:
+        """Join small segments into one if there are more than ``most``; logged operations stay logged."""
+        if not self._locks.try_lock(table):
+            return CompactionResult.noop()
+        try:
+            return compaction.merge_segments(self.writer(table), most)
+        finally:
+            self._locks.unlock(table)
 
-    def vacuum(self, table: str, keep_from: int | None = None) -> int:
-        """Delete what only states before ``keep_from`` (default: the latest) need."""
-        return compaction.vacuum(self.writer(table), keep_from)
+    def vacuum(self, table: str, keep_from: int | None = None, orphan_hours: float = 24.0) -> int:
+        """Delete what only states before ``keep_from`` (default: the latest) need, and what writers that failed left
+        more than ``orphan_hours`` ago."""
+        return compaction.vacuum(self.writer(table), keep_from, orphan_hours)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,19 +114,15 @@ def row_id(spec: TableSpec) -> Column:
     return F.when(missing, F.raise_error(F.lit(f"null in the key of {spec.name}")).cast("long")).otherwise(value)
 
 
-def with_counter(df: DataFrame, start: int) -> tuple[DataFrame, int]:
-    """``df`` with row ids start, start + 1, ...; and their number. Needs the same rows in the same partitions when read twice."""
-    mono = F.monotonically_increasing_id()
-    part = F.shiftright(mono, 33)
-    counts = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], start
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    table = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair]) if offsets else F.lit(None)
-    within = mono.bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = df.withColumn(ROW_ID, (table[part] + within) if offsets else F.lit(None).cast("long"))
-    return numbered, total - start
+def with_counter(df: DataFrame, order: str, start: int) -> DataFrame:
+    """``df`` with row ids start, start + 1, ... in place of ``order``, which holds monotonically increasing ids that
+    stay the same (df is a table). A count for each partition that gave such ids is all that meets in one place."""
+    part, within = F.shiftright(order, 33), F.col(order).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("__part", (F.lit(start) + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__first"))
+    numbered = df.withColumn("__part", part).join(F.broadcast(firsts), "__part")
+    return numbered.withColumn(ROW_ID, F.col("__first") + within).drop("__part", "__first", order)
 
 
 def with_coordinates(df: DataFrame, spec: TableSpec) -> DataFrame:

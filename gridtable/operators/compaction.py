@@ -10,10 +10,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from gridtable.functions import coords
-from gridtable.operators.rows import latest
 from gridtable.sources import reader
-from gridtable.sources.manifest import Segment
-from gridtable.sources.writer import Writer
+from gridtable.sources.writer import LISTED, Writer
 from gridtable.spec import ROW_ID, TXN
 
 
@@ -42,46 +40,73 @@ def compact(writer: Writer, most_segments: int | None = None) -> CompactionResul
     everything = most_segments is not None and len(state.segments) > most_segments
     if not state.changes and not everything:
         return CompactionResult.noop()
-    txn = catalog.next_txn()
+    txn = state.txn + 1
     files = catalog.files
     before = sum(size for s in state.segments for g in s.groups for _, size in files.data_files(g))
     whole = reader.read(spark, spec, state, spec.names)
     dirty: list[int] = []
     if not everything:
-        changed = latest(reader.change_rows(spark, spec, state, []), [ROW_ID], [TXN])
+        changed = reader.change_rows(spark, spec, state, []).select(ROW_ID).distinct()
         bucket = coords.row_bucket(F.col(ROW_ID), spec)
-        # One number for each bucket that changed, a chunk_rows-th of the ids at most.
-        dirty = sorted(r[0] for r in changed.select(bucket.alias("b")).distinct().toLocalIterator())
-        whole = whole.where(bucket.isin(dirty)) if dirty else whole.where("false")
+        found = changed.select(bucket.alias("b")).distinct().limit(LISTED + 1).collect()
+        everything = len(found) > LISTED  # more than can be named: all are rewritten
+        dirty = sorted(r["b"] for r in found)
+        if not everything:
+            whole = whole.where(bucket.isin(dirty))
     segment = writer.write_segment(whole.withColumn(TXN, F.lit(txn).cast("long")), txn)
     written = [f for g in segment.groups for f in files.data_files(g)]
     count = spark.read.schema(reader.stored_schema(spec, [])).parquet(segment.groups[0]).count()
     segment = replace(segment, rows=count)
-    kept: list[Segment] = [] if everything else [replace(s, without=tuple(sorted({*s.without, *dirty}))) for s in state.segments]
-    catalog.commit(spec.name, replace(state, txn=txn, segments=(*kept, segment), changes=()))
+    kept = [] if everything else [replace(s, without=tuple(sorted({*s.without, *dirty}))) for s in state.segments]
+    kept = [replace(s, without=tuple(sorted(set(s.without) & own))) for s in kept if (own := set(writer.touched(s))) - set(s.without)]
+    catalog.commit(spec.name, replace(state, txn=txn, segments=(*kept, *([segment] if count else [])), changes=()))
     after = sum(size for _, size in written)
     after += sum(size for s in kept for g in s.groups for name, size in files.data_files(g) if not any(f"__rb={b}/" in name for b in s.without))
     return CompactionResult(len(written), before, after, len(state.changes))
 
 
-def vacuum(writer: Writer, keep_from: int | None = None) -> int:
-    """Delete the directories and states that no reader at transaction ``keep_from`` or later needs (default: the latest). Returns how many directories."""
+def merge_segments(writer: Writer, most: int) -> CompactionResult:
+    """Join the smallest segments into one if there are more than ``most``, so many that half of ``most`` are left.
+
+    Rows keep their transactions, so the logged operations apply to them as before. A row is rewritten a number of
+    times that grows with the logarithm of the table, since large segments stay as they are.
+    """
+    spec, catalog = writer.spec, writer.catalog
+    state = catalog.state(spec.name)
+    if len(state.segments) <= max(1, most):
+        return CompactionResult.noop()
+    by_size = sorted(state.segments, key=lambda s: s.rows)
+    small = set(by_size[: len(by_size) - max(0, most // 2 - 1)])
+    chosen = replace(state, segments=tuple(s for s in state.segments if s in small))
+    rows = reader.base_rows(writer.spark, spec, chosen, spec.names, None).select(ROW_ID, TXN, *spec.names)
+    segment = writer.write_segment(rows, state.txn + 1)
+    files = catalog.files
+    before = sum(size for s in small for g in s.groups for _, size in files.data_files(g))
+    written = [f for g in segment.groups for f in files.data_files(g)]
+    segment = replace(segment, rows=writer.spark.read.schema(reader.stored_schema(spec, [])).parquet(segment.groups[0]).count())
+    catalog.commit(spec.name, replace(state, txn=state.txn + 1, segments=(*(s for s in state.segments if s not in small), segment)))
+    return CompactionResult(len(written), before, sum(size for _, size in written), 0)
+
+
+def vacuum(writer: Writer, keep_from: int | None = None, orphan_hours: float = 24.0) -> int:
+    """Delete the directories and states that no reader at transaction ``keep_from`` or later needs (default: the
+    latest), and directories that no state names and that are older than ``orphan_hours``, which writers left that
+    failed or lost. Returns how many directories."""
     catalog, spec = writer.catalog, writer.spec
     newest = catalog.state(spec.name)
     since = newest.txn if keep_from is None else keep_from
     known = catalog.transactions(spec.name)
     base = max([t for t in known if t <= since], default=newest.txn)
-    used = [catalog.state_at(spec.name, t) for t in known if t >= base]
-    needed = {p for s in used for x in s.segments for p in x.groups} | {c.path for s in used for c in s.changes}
-    gone = 0
-    for t in [t for t in known if t < base]:
-        old = catalog.state_at(spec.name, t)
-        for path in {p for x in old.segments for p in x.groups} | {c.path for c in old.changes}:
-            if path not in needed and catalog.files.exists(path):
-                catalog.files.delete(path)
-                gone += 1
-        catalog.files.delete(catalog._log(spec.name, t))
-    return gone
+    old, used = [[catalog.state_at(spec.name, t) for t in known if (t < base) == gone] for gone in (True, False)]
+    paths = lambda states: {p.rsplit("/", 1)[0] for s in states for x in s.segments for p in x.groups} | {c.path.rsplit("/", 1)[0] for s in states for c in s.changes}
+    needed, files = paths(used), catalog.files
+    unnamed = {d for kind in ("data", "changes", "staged") for d, at in files.directories(files.path(spec.name, kind)) if at < (time.time() - orphan_hours * 3600) * 1000}
+    gone = [p for p in sorted((paths(old) | unnamed) - needed) if files.exists(p)]
+    for path in gone:
+        files.delete(path)
+    for state in old:
+        files.delete(catalog._log(spec.name, state.txn))
+    return len(gone)
 
 
 class CompactionLock:
@@ -105,11 +130,13 @@ class CompactionLock:
 
 @dataclass(frozen=True)
 class AutoCompactionConfig:
-    """Compact when one row bucket has so many logged changes, or the table so many; looked at every ``interval`` seconds."""
+    """Compact when one row bucket has so many logged changes, or the table so many; join segments when there are more
+    than ``max_segments``; looked at every ``interval`` seconds."""
 
     max_patches_per_chunk: int = 50
     max_total_patches: int = 500
     interval: float = 30.0
+    max_segments: int = 64
 
 
 class CompactionHandle:
@@ -131,7 +158,7 @@ class CompactionHandle:
                 break
             try:
                 if self._due():
-                    self.compactions += self._run().patches_applied > 0
+                    self.compactions += self._run().chunks_compacted > 0
             except Exception as e:  # the loop goes on; the error is there to be looked at
                 self.last_error = e
 

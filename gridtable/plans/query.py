@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtable.errors import InvalidQueryError
@@ -34,6 +34,30 @@ class Source:
         return reader.read(self.db.spark, self.spec, self.state, columns, where)
 
 
+def referenced(plan) -> set[str]:
+    """Names of all columns that the nodes of a logical plan refer to."""
+    found, each = set(), plan.references().iterator()
+    while each.hasNext():
+        found.add(each.next().name())
+    below = plan.children().iterator()
+    while below.hasNext():
+        found |= referenced(below.next())
+    return found
+
+
+class Groups:
+    """The filtered rows of a query by some columns; aggregates read those and their own."""
+
+    def __init__(self, query: QueryBuilder, columns: tuple[str, ...]):
+        self._query, self._columns = query, columns
+
+    def agg(self, *aggregates: Column) -> DataFrame:
+        return self._query._reading(lambda rows: rows.groupBy(*self._columns).agg(*aggregates))
+
+    def count(self) -> DataFrame:
+        return self.agg(F.count(F.lit(1)).alias("count"))
+
+
 class QueryBuilder:
     """``db.select("a", "b").from_("t").filter(Filter.eq("a", 1)).limit(5).execute()``.
 
@@ -113,14 +137,20 @@ class QueryBuilder:
         rows = rows.select(*shown)
         return rows if self._limit is None else rows.limit(self._limit)
 
+    def _reading(self, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``make`` of the filtered rows, with those columns alone that it refers to."""
+        if self._source is None:
+            raise InvalidQueryError("no table: from_() is missing")
+        spec = self._source.spec
+        plan = make(self._db.spark.createDataFrame([], spec.schema))._jdf.queryExecution().analyzed()
+        return make(self._rows([c for c in spec.names if c in referenced(plan)]))
+
     def aggregate(self, *aggregates: Column) -> DataFrame:
         """Any aggregates of the filtered rows as one row. A limit has no effect on aggregates."""
-        spec = self._source.spec if self._source else None
-        return self._rows(spec.names if spec else []).agg(*aggregates)
+        return self._reading(lambda rows: rows.agg(*aggregates))
 
-    def group_by(self, *columns: str) -> GroupedData:
-        spec = self._source.spec if self._source else None
-        return self._rows(spec.names if spec else []).groupBy(*columns)
+    def group_by(self, *columns: str) -> Groups:
+        return Groups(self, columns)
 
     def _one(self, column: str, aggregate: Callable[[Column], Column]):
         return self._rows([column]).agg(aggregate(F.col(f"`{column}`")).alias("x")).first()["x"]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gridtable.operators.rows import OP, SEQ, apply_changes, vertical_join
 from gridtable.plans.groups import ColumnGroups
 from gridtable.plans.predicates import Predicate, columns_of, condition, derive
-from gridtable.sources.manifest import State
+from gridtable.sources.manifest import Segment, State
 from gridtable.spec import ROW_ID, TXN, TableSpec
 
 
@@ -85,6 +85,15 @@ def read(spark: SparkSession, spec: TableSpec, state: State, columns: list[str],
     return whole.select(ROW_ID, *columns)
 
 
-def ids_in_buckets(spark: SparkSession, spec: TableSpec, state: State) -> DataFrame:
-    """(row id) of all rows of ``state``, from the narrowest column group."""
-    return read(spark, spec, state, []).select(ROW_ID)
+def segment_places(spark: SparkSession, spec: TableSpec, segment: Segment) -> DataFrame:
+    """(coordinates, version, rows) of one segment; Spark takes the rows from the files' footers."""
+    rows = scan(spark, spec, segment.groups[0], [])
+    if segment.without:
+        rows = rows.where(~F.col("__rb").isin(list(segment.without)))
+    return rows.groupBy(*spec.coordinates).agg(F.count("*").alias("rows")).withColumn("version", F.lit(segment.txn).cast("long"))
+
+
+def ids_in_buckets(spark: SparkSession, spec: TableSpec, state: State, implied: Column | None) -> DataFrame:
+    """(row id) of the rows of ``state`` in the row buckets that ``implied`` leaves, from the narrowest column group."""
+    base = base_rows(spark, spec, state, [], implied).select(ROW_ID, TXN)
+    return apply_changes(base, change_rows(spark, spec, state, []), sum(c.entries for c in state.changes)).select(ROW_ID)

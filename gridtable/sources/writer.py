@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtable.errors import ConfigError, SchemaError
@@ -17,6 +18,17 @@ from gridtable.sources.manifest import Catalog, Change, RangeStats, Segment, Sta
 from gridtable.spec import ROW_ID, TXN, TableSpec
 
 
+#: Row buckets up to which a write names those that it touches, and reads no others; beyond, it looks at all.
+LISTED = 1000
+
+
+def within(buckets: list[int]) -> Column | None:
+    """A condition on the row bucket, None if there are too many to name."""
+    if not buckets:
+        return F.lit(False)
+    return F.col("__rb").isin(buckets) if len(buckets) <= LISTED else None
+
+
 def fitted(df: DataFrame, spec: TableSpec, with_id: bool, ignore_extra: bool = False) -> DataFrame:
     """``df`` with the table's columns, cast to their types; what is missing, or extra, is an error, as is a null where none may be."""
     missing = [c for c in spec.names if c not in df.columns]
@@ -45,7 +57,13 @@ class Writer:
         self.spec = catalog.spec(table)
 
     def _directory(self, txn: int, kind: str) -> str:
-        return self.catalog.files.path(self.spec.name, kind, f"v{txn}")
+        """A new directory: no two writers have the same, whatever they believe the transaction to be."""
+        return self.catalog.files.path(self.spec.name, kind, f"v{txn}-{uuid.uuid4().hex}")
+
+    def touched(self, segment: Segment) -> list[int]:
+        """The row buckets of a segment, from the names of its directories."""
+        names = (name for name, _ in self.catalog.files.data_files(segment.groups[0]))
+        return sorted({int(n.split("/")[0].removeprefix("__rb=")) for n in names})
 
     def write_segment(self, rows: DataFrame, txn: int, clustered: bool = False) -> Segment:
         """Write rows (row id, txn, columns) as a segment: a shuffle by coordinates, files sorted by row id."""
@@ -56,12 +74,12 @@ class Writer:
         many = len(groups) > 1
         if many:
             placed = placed.persist()
-        paths = []
+        paths, directory = [], self._directory(txn, "data")
         try:
             for g in range(len(groups)):
-                path = f"{self._directory(txn, 'data')}/g{g}"
+                path = f"{directory}/g{g}"
                 part = placed.select(ROW_ID, TXN, *groups.columns(g), *spec.coordinates)
-                part.sortWithinPartitions(*spec.coordinates, ROW_ID).write.mode("overwrite").partitionBy(*spec.coordinates).parquet(path)
+                part.sortWithinPartitions(*spec.coordinates, ROW_ID).write.partitionBy(*spec.coordinates).parquet(path)
                 paths.append(path)
         finally:
             if many:
@@ -75,7 +93,7 @@ class Writer:
         state = catalog.state(spec.name)
         if batch and state.streams.get(batch[0], -1) >= batch[1]:
             return state.txn
-        txn = catalog.next_txn()
+        txn, staged = state.txn + 1, None
         df = fitted(df, spec, True, ignore_extra)
         keyed = spec.row_id.kind != "snowflake" or ROW_ID in df.columns
         if keyed:
@@ -83,17 +101,23 @@ class Writer:
                 df = df.withColumn(ROW_ID, coords.row_id(spec))
             rows = df.withColumn(SEQ, F.monotonically_increasing_id()).withColumn("__rb", coords.row_bucket(F.col(ROW_ID), spec))
             rows = latest(rows.repartition("__rb"), ["__rb", ROW_ID], [*(order_by or []), SEQ]).drop(SEQ, "__rb")
-        else:
-            rows, n = coords.with_counter(df, catalog._row_id)
-            catalog.allocate_row_ids(n)
+        else:  # the source is read once, so that each row has one number even if it comes in another order the next time
+            staged = self._directory(txn, "staged")
+            placed = df.withColumn(SEQ, F.monotonically_increasing_id())
+            placed.write.parquet(staged)
+            placed = self.spark.read.schema(placed.schema).parquet(staged)
+            n = placed.count()
+            rows = coords.with_counter(placed, SEQ, catalog.allocate_row_ids(state, n))
         rows = rows.withColumn(TXN, F.lit(txn).cast("long"))
         segment = self.write_segment(rows, txn, clustered=keyed)
-        written = self.spark.read.schema(reader.stored_schema(spec, self._statistics_columns(0))).parquet(segment.groups[0])
+        if staged:
+            catalog.files.delete(staged)
         stats, count = self._statistics(segment)
         segment = replace(segment, rows=count)
         changes = list(state.changes)
-        if keyed and (state.segments or state.changes):
-            there = reader.base_rows(self.spark, spec, state, [], None).select(ROW_ID, "__rb")
+        if keyed and (state.segments or state.changes) and count:
+            written = self.spark.read.schema(reader.stored_schema(spec, self._statistics_columns(0))).parquet(segment.groups[0])
+            there = reader.base_rows(self.spark, spec, state, [], within(self.touched(segment))).select(ROW_ID, "__rb")
             pending = reader.change_rows(self.spark, spec, state, [])
             old = written.select(ROW_ID, "__rb").join(there, [ROW_ID, "__rb"], "left_semi").select(ROW_ID)
             if pending is not None:
@@ -128,14 +152,15 @@ class Writer:
     def _log(self, rows: DataFrame, txn: int, op: str) -> list[Change]:
         """Write change rows; nothing is logged if there are none."""
         path = f"{self._directory(txn, 'changes')}/{op}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.parquet(path)
         n = self.spark.read.parquet(path).count()
         return [Change(txn, path, n, op)] if n else []
 
     def delete(self, ids: Iterable[int] | DataFrame) -> int:
         """Delete rows by row id (ids, or a DataFrame whose first column holds them); unknown ids are ignored."""
         catalog, spec = self.catalog, self.spec
-        state, txn = catalog.state(spec.name), catalog.next_txn()
+        state = catalog.state(spec.name)
+        txn = state.txn + 1
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(int(i),) for i in ids], f"{ROW_ID} long")
         ids = ids.select(F.col(f"`{ids.columns[0]}`").cast("long").alias(ROW_ID)).where(f"{ROW_ID} IS NOT NULL").distinct()
@@ -151,9 +176,10 @@ class Writer:
             if spec.row_id.kind == "snowflake":
                 raise ConfigError(f"an update of {spec.name} needs {ROW_ID}")
             df = df.withColumn(ROW_ID, coords.row_id(spec))
-        txn = catalog.next_txn()
+        txn = state.txn + 1
         rows = latest(df.withColumn(SEQ, F.monotonically_increasing_id()), [ROW_ID], [SEQ])
-        there = reader.ids_in_buckets(self.spark, spec, state)
+        buckets = df.select(coords.row_bucket(F.col(ROW_ID), spec).alias("b")).distinct().limit(LISTED + 1).collect()
+        there = reader.ids_in_buckets(self.spark, spec, state, within(sorted(r["b"] for r in buckets if r["b"] is not None)))
         rows = rows.join(there, ROW_ID, "left_semi")
         rows = rows.select(ROW_ID, F.lit("U").alias(OP), F.lit(txn).cast("long").alias(TXN), SEQ, *spec.names)
         return self._commit_changes(state, txn, self._log(rows, txn, "U"))

@@ -58,11 +58,12 @@ class StreamInserter:
             self.close()
 
 
-def sink(stream: DataFrame, writer: Writer, query_id: str, checkpoint: str) -> DataStreamWriter:
-    """A stream writer that inserts each micro-batch once: the batch id is committed with the rows."""
+def sink(stream: DataFrame, writer: Writer, query_id: str, checkpoint: str, committed: Callable[[], object] = lambda: None) -> DataStreamWriter:
+    """A stream writer that inserts each micro-batch once: the batch id is committed with the rows. ``committed`` runs after each."""
 
     def insert(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             writer.insert(batch, batch=(query_id, batch_id))
+            committed()
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)

@@ -35,9 +35,12 @@ def test_floor_div(spark, size):
 
 
 def test_overlapping_buckets():
-    assert len(coords.overlapping_buckets(500, 1500, 1000)) == len(coords.overlapping_buckets(-1500, -500, 1000)) == len(coords.overlapping_buckets(-500, 500, 1000)) == 2
-    assert coords.overlapping_buckets(None, 5, 1000) is None and coords.overlapping_buckets(0, 10**9, 10) is None
-    assert coords.bucket_row_range(-1, 100) == (-100, 0)
+    for low, high, size in ((3, 29, 8), (-41, -3, 13), (-7, 22, 10), (16, 16, 4), (0, 0, 1)):
+        assert coords.overlapping_buckets(low, high, size) == sorted({v // size for v in range(low, high + 1)})
+    assert coords.overlapping_buckets(None, 6, 3) is None and coords.overlapping_buckets(2, 7**12, 9) is None
+    for bucket in (-4, 0, 11):
+        first, stop = coords.bucket_row_range(bucket, 23)
+        assert {i for i in range(-200, 400) if i // 23 == bucket} == set(range(first, stop))
 
 
 def test_times_round_down(spark):
@@ -58,23 +61,32 @@ def test_composite_keys_differ(spark):
 
 
 def test_counter(spark):
-    df, n = coords.with_counter(spark.range(1000).repartition(7), 50)
-    assert n == 1000 and sorted(r["__row_id"] for r in df.collect()) == list(range(50, 1050))
+    df = spark.range(1000).repartition(7).withColumn("nth", F.monotonically_increasing_id()).persist()
+    got = coords.with_counter(df, "nth", 50)
+    assert got.columns == ["id", "__row_id"] and sorted(r["__row_id"] for r in got.collect()) == list(range(50, 1050))
+    assert coords.with_counter(df.where("false"), "nth", 0).count() == 0
+    df.unpersist()
 
 
 def test_chunk_names():
-    for chunk, name in ((Chunk(5, 2, (42, 17), (100, 200), 3), "chunk_r5_c2_h42-17_rg100-200_v3.parquet"), (Chunk(0, 0, (), (), 1), "chunk_r0_c0_v1.parquet")):
+    # Fixed format: chunk_r<row bucket>_c<group>[_h<hash>-...][_rg<range>-...]_v<version>.parquet
+    for chunk, name in ((Chunk(12, 1, (7, 0, 3), (64,), 9), "chunk_r12_c1_h7-0-3_rg64_v9.parquet"), (Chunk(3, 0, (), (8, 1), 2), "chunk_r3_c0_rg8-1_v2.parquet"), (Chunk(81, 4, (), (), 6), "chunk_r81_c4_v6.parquet")):
         assert format_chunk(chunk) == name and parse_chunk(name) == chunk
-    assert chunk_path("/base/", "t", Chunk(0, version=1)) == "/base/t/chunks/chunk_r0_c0_v1.parquet"
-    assert Chunk(1, 0, (2,)).row_key == Chunk(1, 5, (2,), (), 9).row_key
-    for bad in ("chunk_r5_x2_v1.parquet", "chunk_r5_c2.parquet", "chunk_r5_c2_v1", "part_r1_c1_v1.parquet", "chunk_r1_r2_c1_v1.parquet"):
+    assert chunk_path("/lake/", "parcels", Chunk(81, 4, version=6)) == "/lake/parcels/chunks/chunk_r81_c4_v6.parquet"
+    assert Chunk(9, 3, (1,)).row_key == Chunk(9, 8, (1,), (), 4).row_key
+    for bad in ("chunk_r12_q1_v9.parquet", "chunk_r12_c1.parquet", "chunk_r12_c1_v9", "piece_r12_c1_v9.parquet", "chunk_r3_r3_c0_v2.parquet"):
         with pytest.raises(InvalidChunkNameError):
             parse_chunk(bad)
 
 
 def test_range_stats():
-    stats = RangeStats().merge(RangeStats(100, 200, 10)).merge(RangeStats(50, 300, 5)).merge(RangeStats(100, 200, 5))
-    assert (stats.low, stats.high, stats.count, stats.is_initialized, RangeStats().is_initialized) == (50, 300, 20, True, False)
+    batches = [[17, -4, 33], [], [8], [-90, 250, 250, 1]]
+    stats = RangeStats()
+    for i, batch in enumerate(batches):
+        stats = stats.merge(RangeStats(min(batch), max(batch), len(batch)) if batch else RangeStats())
+        seen = sum(batches[: i + 1], [])
+        assert (stats.low, stats.high, stats.count, stats.is_initialized) == (min(seen), max(seen), len(seen), True)
+    assert not RangeStats().is_initialized
     state = State(txn=3, stats={"a": RangeStats(-5, -1, 2)})
     assert State.from_json(state.to_json()) == state
 
