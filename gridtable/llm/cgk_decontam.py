@@ -12,17 +12,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gridtable.llm.common import ALNUM, code_points, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
+from gridtable.llm.common import ALNUM, arrow, code_points, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
 
 LOWER = lower_ascii()
-#: Window sizes in words; an item takes the greatest that fits into it.
-WINDOWS = (4, 8, 16)
+#: For items of so many words and more: the words of a window, which but for the shortest fits into them twice, and the
+#: places of its walk that are sampled, more where a window is short and would else be found everywhere.
+SHAPES = ((4, 4, 3), (8, 4, 5), (16, 8, 4), (32, 16, 3))
+LEAST, LONGEST = SHAPES[0][0], SHAPES[-1][1]
+#: Items of more words have at least the recall of those of so many, for they have more windows; edited copies that
+#: recall is measured on, for each kind of edit; repetitions at which that ends.
+MANY, COPIES, MOST = 48, 100, 48
 #: Items that are searched for in one pass, which bounds what is broadcast.
 BLOCK = 20_000
 ANY = "doc_id long, item_id long, edits long, item_words long, start long, end long"
@@ -30,15 +36,71 @@ ANY = "doc_id long, item_id long, edits long, item_words long, start long, end l
 
 @dataclass(frozen=True)
 class Settings:
-    """share: the edits allowed, as a share of the item's words; repetitions of the embedding and places
-    sampled in each; agree: the share of a walk's places that a candidate agrees in."""
+    """share: the edits allowed, as a share of the item's words; recall: what share of copies with so many edits is to be
+    found, whatever the item's length and whichever kind the edits are; agree: the share of a walk's places that a
+    candidate agrees in."""
 
     share: float = 0.2
-    repetitions: int = 8
-    places: int = 3
+    recall: float = 0.98
     agree: float = 0.4
 
 
+def shape(n: int) -> int:
+    """Which of SHAPES an item of ``n`` words has."""
+    return max(k for k, (least, _, _) in enumerate(SHAPES) if least <= n)
+
+
+def offsets_of(n: int, w: int) -> list[int]:
+    """Where the windows of an item of ``n`` words begin."""
+    return sorted({*range(0, n - w + 1, w // 2), n - w})
+
+
+@lru_cache(maxsize=1)
+def plan() -> tuple[np.ndarray, list[list[list[int]]]]:
+    """For each repetition the seed of the walks' moves, and the places sampled in the walks of each shape."""
+    rng = np.random.default_rng(23)
+    seeds = rng.integers(0, 2**63, MOST, dtype=np.uint64)
+    edges = [np.linspace(0, w + w // 2, places + 1).astype(int) for _, w, places in SHAPES]
+    return seeds, [[[int(rng.integers(a, b)) for a, b in zip(e, e[1:], strict=False)] for e in edges] for _ in range(MOST)]
+
+
+@lru_cache(maxsize=1024)
+def repetitions(n: int, s: Settings) -> int:
+    """How many repetitions find ``s.recall`` of the copies of items of ``n`` words with all edits allowed, be these
+    words that are changed, put in or left out: counted on copies of random items."""
+    kind, edits = shape(n), int(s.share * n + 1e-9)
+    w = SHAPES[kind][1]
+    rng = np.random.default_rng((n, edits))
+    items, copies = [], []
+    for k in range(3 * COPIES):
+        item = rng.integers(1, 2**63, n, dtype=np.uint64).tolist()
+        copy = list(item)
+        for _ in range(edits):
+            at = int(rng.integers(len(copy)))
+            if k % 3 == 2:
+                del copy[at]
+            else:
+                copy[at : at + (k % 3 == 0)] = [int(rng.integers(1, 2**63))]
+        other = lambda k: rng.integers(1, 2**63, k, dtype=np.uint64).tolist()  # noqa: E731  what follows
+        items.append(item + other(2 * w))
+        copies.append(copy + other(n + edits + 2 * w - len(copy)))
+    one, two = np.array(items, np.uint64), np.array(copies, np.uint64)
+    nth = np.arange(len(one))
+    at_one = np.add.outer(nth * one.shape[1], offsets_of(n, w)).ravel()
+    at_two = np.add.outer(nth * two.shape[1], np.arange(n + edits)).ravel()
+    seeds, sampled = plan()
+    found = np.zeros(len(one), bool)
+    for r in range(MOST):
+        keys = []
+        for words, at, width in ((one, at_one, one.shape[1]), (two, at_two, two.shape[1])):
+            wrote = walk(words.ravel(), at, w + w // 2, seeds[r])[sampled[r][kind]]
+            keys.append(running_keys(wrote)[-1] ^ mix((at // width).astype(np.uint64)))
+        found[at_one[np.isin(keys[0], keys[1])] // one.shape[1]] = True
+        if min(found[x::3].mean() for x in range(3)) >= s.recall:
+            return r + 1
+    return MOST
+
+
 def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, row offsets, and hash, start, end and row of every word (letters and digits, in lower case)."""
     data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
@@ -56,35 +118,35 @@ class Index:
         first = np.cumsum(count) - count
         self.items = [words[a : a + n] for a, n in zip(first, count, strict=True)]
         self.lists = [x.tolist() for x in self.items]
-        rng = np.random.default_rng(23)
-        self.seeds = rng.integers(0, 2**63, s.repetitions, dtype=np.uint64)
+        self.seeds, sampled = plan()
         self.exact: dict[int, dict[int, list[int]]] = {}
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        starts: dict[int, list[tuple[int, int]]] = {w: [] for w in WINDOWS}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        starts: list[list[tuple[int, int]]] = [[] for _ in SHAPES]
+        turns = [0] * len(SHAPES)
         for i, n in enumerate(count.tolist()):
-            if 0 < n < WINDOWS[0]:
+            if n and (n < LEAST or int(s.share * n + 1e-9) == 0):  # no edit is allowed
                 key = int(consecutive(self.items[i], n)[0])
                 self.exact.setdefault(n, {}).setdefault(key, []).append(i)
             elif n:
-                w = max(x for x in WINDOWS if x <= n)
-                at = sorted({*range(0, n - w + 1, w // 2), n - w})
-                starts[w] += [(i, o) for o in at]
-        for w, found in starts.items():
+                k = shape(n)
+                starts[k] += [(i, o) for o in offsets_of(n, SHAPES[k][1])]
+                turns[k] = max(turns[k], repetitions(min(n, MANY), s))
+        for k, found in enumerate(starts):
             if found:
                 which = np.array(found, np.int64)
-                self.sizes[w] = (which[:, 0], which[:, 1])
-        padded = np.append(words, np.zeros(4 * WINDOWS[-1], np.uint64))
+                self.windows[k] = (which[:, 0], which[:, 1])
+        padded = np.append(words, np.zeros(2 * LONGEST, np.uint64))
         self.samples, self.walks, self.tables = [], [], []
-        for r in range(s.repetitions):
+        for r in range(max(turns)):
             places, walks, tables = {}, {}, {}
-            for w, (item, at) in self.sizes.items():
-                steps = w + w // 2
-                edges = np.linspace(0, steps, s.places + 1).astype(int)
-                places[w] = [int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-                walks[w] = walk(padded, first[item] + at, steps, self.seeds[r])
-                prefixes = running_keys(walks[w][places[w]])
-                order = np.argsort(prefixes[-1], kind="stable")
-                tables[w] = ([bit_table(x) for x in prefixes], prefixes[-1][order], order)
+            for k, (item, at) in self.windows.items():
+                if r < turns[k]:
+                    w = SHAPES[k][1]
+                    places[k] = sampled[r][k]
+                    walks[k] = walk(padded, first[item] + at, w + w // 2, self.seeds[r])
+                    prefixes = running_keys(walks[k][places[k]])
+                    order = np.argsort(prefixes[-1], kind="stable")
+                    tables[k] = ([bit_table(x) for x in prefixes], prefixes[-1][order], order)
             self.samples.append(places)
             self.walks.append(walks)
             self.tables.append(tables)
@@ -166,22 +228,23 @@ def find(index: Index, words: np.ndarray, row: np.ndarray, rows: int) -> list[tu
     n, s = len(words), index.s
     count = np.bincount(row, minlength=rows)
     first = np.cumsum(count) - count
-    padded = np.append(words, np.zeros(4 * WINDOWS[-1], np.uint64))
+    padded = np.append(words, np.zeros(2 * LONGEST, np.uint64))
     candidates: set[tuple[int, int, int]] = set()
     for size, keys in index.exact.items():
         if n >= size:
             mine = consecutive(words, size)
             for at in np.flatnonzero(np.isin(mine, np.fromiter(keys, np.uint64))).tolist():
                 candidates.update((int(row[at]), i, at) for i in keys[int(mine[at])])
-    for r in range(s.repetitions if n else 0):
+    for r in range(len(index.samples) if n else 0):
         moves, now, steps = bits(padded, index.seeds[r]), np.arange(n, dtype=np.int32), 0
-        for w, places in sorted(index.samples[r].items(), key=lambda x: x[1][0]):
-            tables, table, order = index.tables[r][w]
+        for shaped, places in sorted(index.samples[r].items(), key=lambda x: x[1][0]):
+            tables, table, order = index.tables[r][shaped]
+            w = SHAPES[shaped][1]
             now, steps = advance(moves, now, steps, places[0]), places[0]
             opening = extend(np.zeros(len(padded), np.uint64), padded, 0)
             at = np.flatnonzero(among(opening, tables[0])[now])
             here, key = now[at], opening[now[at]]
-            for k in range(1, s.places):
+            for k in range(1, len(places)):
                 here = advance(moves, here, places[k - 1], places[k])
                 key = extend(key, padded[here], k)
                 ok = np.flatnonzero(among(key, tables[k]))
@@ -195,9 +258,9 @@ def find(index: Index, words: np.ndarray, row: np.ndarray, rows: int) -> list[tu
                 for a in range(0, len(hit), 1 << 16):
                     part = hit[a : a + (1 << 16)]
                     mine_walk = walk(padded, at[part], w + w // 2, index.seeds[r])
-                    item_walk = index.walks[r][w][:, which[a : a + (1 << 16)]]
+                    item_walk = index.walks[r][shaped][:, which[a : a + (1 << 16)]]
                     good = (mine_walk == item_walk).mean(axis=0) >= s.agree
-                    item, offset = (x[which[a : a + (1 << 16)][good]] for x in index.sizes[w])
+                    item, offset = (x[which[a : a + (1 << 16)][good]] for x in index.windows[shaped])
                     start = at[part][good]
                     candidates.update(zip(row[start].tolist(), item.tolist(), ((start - offset) // 4 * 4).tolist(), strict=True))
                 low[hit] += 1
@@ -236,7 +299,7 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
     """(doc_id, item_id, edits, item_words, start, end): where a row of ``docs`` (doc_id, text) holds an item.
 
     The best stretch for each row and item whose distance in words is at most ``share`` of the item's
-    words; start and end are code points. Items under four words must be there word for word; items
+    words; start and end are code points. Items that are too short for an edit must be there word for word; items
     and texts that are null or have no word match nothing; a repeated row is reported again; an item
     given twice is reported twice. Other columns are not read. Items go in blocks of bounded size.
     """
@@ -248,7 +311,7 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
+                for part in slices(batch, "text"):
                     data, offsets, words, starts, ends, row = read_words(part.column(1))
                     found = find(index, words, row, part.num_rows)
                     if found:
@@ -265,7 +328,7 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
                             names=["doc_id", "item_id", "edits", "item_words", "start", "end"],
                         )
 
-        found = docs.mapInArrow(run, ANY)
+        found = arrow(docs, run, ANY)
         out = found if k == 0 else out.unionByName(found)
     return out
 
@@ -277,11 +340,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
+                for part in slices(batch, "text"):
                     _, _, words, _, _, row = read_words(part.column(at))
                     clean = np.ones(part.num_rows, bool)
                     clean[[f[0] for f in find(shared.value, words, row, part.num_rows)]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow(docs, run, docs.schema)
     return docs

@@ -56,6 +56,29 @@ def test_recall(rate, least):
     assert sum((k, k % 60) in found for k in range(300)) >= least * 300
 
 
+@pytest.mark.parametrize("kind", ["change", "insert", "delete"])
+def test_recall_at_every_length(kind):
+    """All edits allowed, of one kind; each length by itself, 16 and its like among them."""
+    rng = random.Random(19)
+    for n in (4, 5, 6, 7, 8, 9, 10, 14, 15, 16, 17, 20, 25, 31, 32, 35, 40, 60):
+        items = [[rng.choice(VOCABULARY[:800]) for _ in range(n)] for _ in range(100)]
+        index = m.Index(list(range(100)), [" ".join(x) for x in items], m.Settings())
+        texts = []
+        for item in items:
+            words = list(item)
+            for _ in range(n // 5):
+                at = rng.randrange(len(words))
+                words[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice(VOCABULARY)]
+            texts.append(" ".join([*rng.choices(VOCABULARY, k=30), *words, *rng.choices(VOCABULARY, k=30)]))
+        _, _, words, _, _, row = m.read_words(pa.array(texts, pa.large_string()))
+        found = {(r, i) for r, i, *_ in m.find(index, words, row, len(texts))}
+        assert sum((k, k) in found for k in range(100)) >= 93, n
+
+
+def test_repetitions_follow_the_target():
+    assert m.repetitions(16, m.Settings(recall=0.5)) < m.repetitions(16, m.Settings(recall=0.999)) <= m.MOST
+
+
 def test_against_brute_force(spark):
     rng = random.Random(11)
     items = [[rng.choice(VOCABULARY) for _ in range(n)] for n in (20, 30, 9, 5, 4, 2)]
