@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtable.llm.common import slices, utf8
+from gridtable.llm.common import arrow, slices, utf8
 from gridtable.llm.toxicity_crf import Sample, labelled, logistic, sigmoid
 
 #: Bytes of a step of the filters (a filter spans two), and steps of a chunk, whose neighbours it overlaps by so many.
@@ -170,8 +170,12 @@ def features(model: Model, texts: pa.Array) -> np.ndarray:
     return document_features(np.maximum(greatest(model, laid) + model.bias, 0), laid)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(2500, 8000)) -> Model:
-    """A model from the labels' ``quality``; held-out rows, lang, source and ids give it nothing."""
+def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(2500, 30_000)) -> Model:
+    """A model from the labels' ``quality``; held-out rows, lang, source and ids give it nothing.
+
+    Null texts and labels teach nothing. With no labels, or empty tables, all scores are one half. Other columns are
+    not read, whatever their names.
+    """
     texts, y, weight = labelled(docs, labels, "quality", sample)
     model = fit(texts, (y == 1).astype(np.float64))
     if len(y):  # the sample's classes are more even than the corpus's
@@ -196,4 +200,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_rows(part.column(1), shared.value))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")

@@ -3,7 +3,7 @@
 Documents are chains of words with the labels 0 and 1 (toxic). A word's potential is a sum of weights
 of hashed features (the whole word, its prefixes); neighbours share transition potentials. Word labels
 for learning come from the document labels: a word of a toxic document is toxic if one of its features
-is far more frequent in toxic documents. Forward-backward gives exact marginals; the document score is
+is far more frequent in toxic documents. Forward-backward gives exact marginals over whole documents; the document score is
 a logistic function of sums over them, learned on labelled documents that the field has not seen, and
 the offending offsets are the runs of words whose marginal passes one half.
 """
@@ -19,13 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import ALNUM, code_points, fold, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
+from gridtable.llm.common import ALNUM, arrow, code_points, fold, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
 
 #: Prefix lengths in bytes that are features; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6, 7, 8)
 SLOTS = 1 << 18
-#: Chains are cut into pieces of so many words, which bounds the number of steps.
-PIECE = 256
+#: Words of a span. The spans of a chain are worked on side by side, as are those of other chains.
+SPAN = 64
 #: Marginals below this are not added up: long texts have many words that are a little unlikely to be toxic.
 DOUBT = 0.1
 LOWER = lower_ascii()
@@ -33,10 +33,11 @@ LOWER = lower_ascii()
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound of what is learned from: so many labelled rows of each class, of at most so many characters."""
+    """The bound of what is learned from: so many labelled rows of each class, of at most so many characters. Longer ones,
+    and null texts, are replaced by others."""
 
     rows: int = 2500
-    longest: int = 20_000
+    longest: int = 50_000
 
 
 @dataclass
@@ -87,30 +88,101 @@ def potentials(features: np.ndarray, weights: np.ndarray, bias: float) -> np.nda
     return total
 
 
-def pieces(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of the pieces of the chains, longest first."""
-    per = -(-count // PIECE)
-    first = np.repeat(np.cumsum(count) - count, per)
-    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    size = np.minimum(np.repeat(count, per) - nth * PIECE, PIECE)
-    order = np.argsort(-size, kind="stable")
-    return (first + nth * PIECE)[order], size[order]
+@dataclass
+class Spans:
+    """The spans of some chains, longest first: first word, words, whether a chain begins there, and place in the order
+    of the chains; spans a chain."""
+
+    first: np.ndarray
+    size: np.ndarray
+    head: np.ndarray
+    place: np.ndarray
+    per: np.ndarray
+
+    @classmethod
+    def of(cls, count: np.ndarray) -> Spans:
+        per = -(-count // SPAN)
+        base = np.cumsum(per) - per
+        nth = np.arange(per.sum()) - np.repeat(base, per)
+        first = np.repeat(np.cumsum(count) - count, per) + nth * SPAN
+        size = np.minimum(np.repeat(count, per) - nth * SPAN, SPAN)
+        order = np.argsort(-size, kind="stable")
+        return cls(first[order], size[order], (nth == 0)[order], order, per)
+
+    def steps(self) -> list[tuple[int, np.ndarray]]:
+        """For each step within a span the step and the words that the spans which have one hold there."""
+        longest = int(self.size[0]) if len(self.size) else 0
+        active = np.searchsorted(-self.size, -np.arange(1, longest + 1), side="right")
+        return [(t, self.first[: active[t]] + t) for t in range(longest)]
+
+
+def products(unary: np.ndarray, spans: Spans, moves: np.ndarray) -> np.ndarray:
+    """What a span makes of a message, as a 2 x 2 matrix up to a factor, in the order of the chains."""
+    whole = np.zeros((len(spans.first), 2, 2))
+    whole[:, 0, 0] = whole[:, 1, 1] = 1
+    move = np.exp(moves - moves.max())
+    for t, at in spans.steps():
+        u = np.clip(unary[at], -300, 300)
+        own = np.exp(np.stack([np.minimum(-u, 0), np.minimum(u, 0)], axis=1))
+        k = len(at)
+        step = np.einsum("nij,jk->nik", whole[:k], move)
+        if t == 0:  # nothing comes before the first word of a chain: both labels are as likely
+            step[spans.head[:k]] = whole[:k][spans.head[:k]][:, :, :1]
+        step *= own[:, None, :]
+        whole[:k] = step / step.max(axis=(1, 2), keepdims=True)
+    out = np.empty_like(whole)
+    out[spans.place] = whole
+    return out
 
 
-def forward_backward(unary: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios of label 1 to 0 of the forward messages (with the word's own potential) and the backward ones."""
-    t00, t01, t10, t11 = moves.ravel()
+def log_ratio(m: np.ndarray) -> np.ndarray:
+    m = np.maximum(m, 1e-300)
+    return np.log(m[:, 1]) - np.log(m[:, 0])
+
+
+def messages(unary: np.ndarray, spans: Spans, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each span the log ratio of the message that enters it from the left and of the one from the right."""
+    left, right = np.zeros(len(spans.first)), np.zeros(len(spans.first))
+    most = int(spans.per.max(initial=0))
+    if most > 1:
+        whole = products(unary, spans, moves)
+        base = np.cumsum(spans.per) - spans.per
+        order = np.argsort(-spans.per, kind="stable")
+        base, per = base[order], spans.per[order]
+        active = np.searchsorted(-per, -np.arange(1, most + 1), side="right")  # chains with so many spans
+        now = whole[base[: active[0]], 0]
+        for j in range(1, most):
+            left[base[: active[j]] + j] = log_ratio(now[: active[j]])
+            now = np.einsum("ni,nij->nj", now[: active[j]], whole[base[: active[j]] + j])
+            now /= now.max(axis=1, keepdims=True)
+        now = np.ones((len(base), 2))
+        for j in range(most - 1, 0, -1):
+            k = active[j]
+            now[:k] = np.einsum("nij,nj->ni", whole[base[:k] + j], now[:k])
+            now[:k] /= now[:k].max(axis=1, keepdims=True)
+            right[base[:k] + j - 1] = log_ratio(now[:k])
+    return left[spans.place], right[spans.place]
+
+
+def forward_backward(unary: np.ndarray, count: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios of label 1 to 0 of the forward messages (with the word's own potential) and the backward ones.
+
+    Chains of any length are one chain each: products of the steps of each span give the messages at its ends, and
+    from there the words of all spans are worked on at the same time.
+    """
+    (t00, t01), (t10, t11) = moves
+    spans = Spans.of(count)
+    left, right = messages(unary, spans, moves)
     ahead, back = np.array(unary, np.float64), np.zeros(len(unary))
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
-    for t in range(1, longest):
-        at = first[: active[t]] + t
-        a = ahead[at - 1]
-        ahead[at] += np.logaddexp(t01, a + t11) - np.logaddexp(t00, a + t10)
-    for t in range(longest - 1, 0, -1):
-        at = first[: active[t]] + t
-        x = unary[at] + back[at]
-        back[at - 1] = np.logaddexp(t10, t11 + x) - np.logaddexp(t00, t01 + x)
+    for t, at in spans.steps():
+        a = left[: len(at)] if t == 0 else ahead[at - 1]
+        more = np.logaddexp(t01, a + t11) - np.logaddexp(t00, a + t10)
+        ahead[at] += more if t else np.where(spans.head[: len(at)], 0, more)
+    back[spans.first + spans.size - 1] = right
+    for t, at in reversed(spans.steps()):
+        if t:
+            x = unary[at] + back[at]
+            back[at - 1] = np.logaddexp(t10, t11 + x) - np.logaddexp(t00, t01 + x)
     return ahead, back
 
 
@@ -120,7 +192,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def marginals(words: Words, model: Model) -> np.ndarray:
     unary = potentials(words.features, model.weights, model.bias)
-    ahead, back = forward_backward(unary, *pieces(words.count), model.moves)
+    ahead, back = forward_backward(unary, words.count, model.moves)
     return sigmoid(ahead + back)
 
 
@@ -166,16 +238,15 @@ def word_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
 
 def fit_field(words: Words, labels: np.ndarray, rounds: int = 30) -> Model:
     """Adaptive gradient ascent on the conditional likelihood; its gradient comes from forward-backward."""
-    first, size = pieces(words.count)
     inner = np.ones(len(labels), bool)
-    inner[first] = False
+    inner[(np.cumsum(words.count) - words.count)[words.count > 0]] = False
     later = np.flatnonzero(inner)
     weights, bias, moves = np.zeros(SLOTS, np.float32), -3.0, np.zeros((2, 2))
     squares, square_bias, square_moves = np.full(SLOTS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     seen = np.array([[np.sum((labels[later - 1] == i) & (labels[later] == j)) for j in (0, 1)] for i in (0, 1)], float)
     for _ in range(rounds):
         unary = potentials(words.features, weights, bias)
-        ahead, back = forward_backward(unary, first, size, moves)
+        ahead, back = forward_backward(unary, words.count, moves)
         p = sigmoid(ahead + back)
         miss = labels - p
         expected = np.zeros((2, 2))
@@ -214,16 +285,20 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Texts, labels and weights of a bounded sample of the rows that may be learned from, spread evenly by a hash of the id.
 
-    The weight of a class says how many labelled rows each of its sampled rows stands for.
+    The weight of a class says how many labelled rows each of its sampled rows stands for. Labels that are null or
+    have no text are left out; a document or label that is repeated counts as often. Without labels nothing is returned.
     """
     known = labels.where((fold(F.col("doc_id")) != 2) & F.col(label).isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rank = F.xxhash64("doc_id", F.lit(17))
-    parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(sample.rows) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * sample.rows rows
+    # Twice as many as are wanted, since some are null or too long; then the first of those that are left.
+    parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(2 * sample.rows) for y in (0, 1)]
+    chosen = F.broadcast(parts[0].union(parts[1]))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = docs.where(F.length("text") <= sample.longest).join(chosen, "doc_id").select("doc_id", "text", "y").toArrow()
+    usable = docs.where(F.length("text") <= sample.longest).join(chosen, "doc_id").select("doc_id", "text", "y", rank.alias("rank"))
+    parts = [usable.where(F.col("y") == y).orderBy("rank", "doc_id").limit(sample.rows) for y in (0, 1)]
+    got = parts[0].union(parts[1]).toArrow()
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
     order = np.argsort(mix(got["doc_id"].to_numpy().view(np.uint64)), kind="stable")
     got = got.take(pa.array(order))
@@ -234,7 +309,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
-    """A model from the labels' ``toxic``; held-out rows, lang, source and ids give it nothing."""
+    """A model from the labels' ``toxic``; held-out rows, lang, source and ids give it nothing.
+
+    Null texts and labels teach nothing, empty texts are chains without words. With no labels, or empty tables, all
+    scores are one half. Other columns are not read, whatever their names.
+    """
     texts, y, weight = labelled(docs, labels, "toxic", sample)
     model = fit(texts, y == 1)
     if len(y):  # the sample has more toxic rows than the corpus
@@ -280,11 +359,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 value, spans, number = score_rows(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(number), spans], names=["doc_id", "score", "n_spans", "offending"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_spans long, offending string")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, n_spans long, offending string")
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``least`` or more; the columns stay."""
+    """``docs`` without the rows that score ``least`` or more; the columns stay, whatever their names.
+
+    Null and empty texts have the score of a text without words, and stay if that is below ``least``. Repeated rows
+    stay or go together. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -294,4 +377,4 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
                 value, _, _ = score_rows(part.column(at), shared.value)
                 yield part.filter(pa.array(value < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

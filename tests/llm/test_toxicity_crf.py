@@ -12,7 +12,7 @@ def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     count = np.array([4, 0, 1, 6])
     unary, moves = rng.standard_normal(11), rng.standard_normal((2, 2))
-    ahead, back = m.forward_backward(unary, *m.pieces(count), moves)
+    ahead, back = m.forward_backward(unary, count, moves)
     got, at = m.sigmoid(ahead + back), 0
     for n in count:
         u = unary[at : at + n]
@@ -25,6 +25,39 @@ def test_forward_backward_is_exact():
         at += n
 
 
+def plain_recursions(u, moves):
+    ahead, back = np.array(u), np.zeros(len(u))
+    for t in range(1, len(u)):
+        ahead[t] += np.logaddexp(moves[0, 1], ahead[t - 1] + moves[1, 1]) - np.logaddexp(moves[0, 0], ahead[t - 1] + moves[1, 0])
+    for t in range(len(u) - 1, 0, -1):
+        x = u[t] + back[t]
+        back[t - 1] = np.logaddexp(moves[1, 0], moves[1, 1] + x) - np.logaddexp(moves[0, 0], moves[0, 1] + x)
+    return ahead, back
+
+
+@pytest.mark.parametrize("strength", [0.1, 1.0, 8.0])
+def test_chains_of_any_length_are_one_chain(strength):
+    """Also where neighbours pull so hard that what a far word says is felt over many spans."""
+    rng = np.random.default_rng(2)
+    count = np.array([1, 0, m.SPAN, m.SPAN + 1, 5000, 3, 2 * m.SPAN, 0, 777])
+    unary = rng.standard_normal(count.sum()) * 3 / strength
+    moves = np.array([[strength, -strength], [-strength, strength]]) + rng.standard_normal((2, 2)) / 4
+    ahead, back = m.forward_backward(unary, count, moves)
+    at = 0
+    for n in count:
+        one, two = plain_recursions(unary[at : at + n], moves)
+        assert np.allclose(ahead[at : at + n], one, atol=1e-8) and np.allclose(back[at : at + n], two, atol=1e-8)
+        at += n
+
+
+def test_sample_replaces_what_is_too_long(spark):
+    rows = [(i, None if i % 5 == 0 else "x" * (100 if i % 2 else 10)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 3 == 0) for i in range(400)], "doc_id long, toxic boolean")
+    texts, y, _ = m.labelled(docs, marks, "toxic", m.Sample(30, 50))
+    assert set(texts.to_pylist()) == {"x" * 10} and 15 <= (y == 1).sum() <= 30 and 15 <= (y == 0).sum() <= 30
+
+
 def test_gradient_raises_likelihood():
     texts, labels = corpus(120, 5)
     words = m.read_words(pa.array(texts, pa.large_string()))
