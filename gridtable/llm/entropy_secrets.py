@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtable.llm.common import code_points, slices, utf8, word_spans
+from gridtable.llm.common import arrow, code_points, slices, utf8, word_spans
 
 #: Fixed patterns: kinds in the order in which spans at the same start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -55,6 +57,18 @@ ALLOWED = ("example", "placeholder", "xxxxxxxx", "changeme", "deadbeef", "000000
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
+def period(text: str) -> int:
+    """The least distance at which a text repeats itself up to its end: its length less its longest border's."""
+    borders = [0] * len(text)
+    k = 0
+    for i in range(1, len(text)):
+        while k and text[i] != text[k]:
+            k = borders[k - 1]
+        k += text[i] == text[k]
+        borders[i] = k
+    return len(text) - k
+
+
 def suppressed(text: str) -> bool:
     """Whether the allow list covers a span: words, alphabets, repeated blocks, public identifiers."""
     kinds = sum((any(c in DIGITS for c in text), any(c in LETTERS for c in text), any(c in LETTERS.upper() for c in text)))
@@ -66,17 +80,17 @@ def suppressed(text: str) -> bool:
     steps = sum(abs(ord(b) - ord(a)) <= 1 for a, b in zip(low, low[1:], strict=False))
     if steps > len(text) // 2:
         return True
-    for size in range(1, len(text) // 2 + 1):
-        if text.startswith(text[size:]) and len(text) >= 2 * size:
-            return True
+    if 2 * period(text) <= len(text):
+        return True
     words = re.split(r"[^A-Za-z]+", text)
     return sum(len(w) for w in words if len(w) >= 6 and (w[1:].islower() or w.isupper())) > 0.7 * len(text)
 
 
 def high_entropy(text: str) -> list[tuple[int, int]]:
     """Disjoint spans of ``text`` that windows of high entropy cover."""
-    found: list[tuple[int, int]] = []
+    found: list[list[int]] = []
     for c in CLASSES:
+        last = [-1, -1]  # the last span of this class, which grows with the windows
         w = c.window
         table = [k * math.log2(k) if k else 0.0 for k in range(w + 2)]
         most = w * (math.log2(w) - c.bits) + 1e-9  # of the sum of k*log(k) in a window
@@ -96,7 +110,10 @@ def high_entropy(text: str) -> list[tuple[int, int]]:
                 total += table[k - 1] - table[k]
                 start += 1
             if i - start + 1 == w and total <= most:
-                found.append((start, i + 1))
+                if start > last[1]:
+                    last = [start, i + 1]
+                    found.append(last)
+                last[1] = i + 1
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
@@ -132,11 +149,20 @@ def find(column: pa.Array) -> list[list[tuple[int, int, int]]]:
     data, offsets = utf8(column)
     for row, a, b, _ in runs(data, offsets, HEX_BYTES, LEAST_HEX):
         found[row].append((a, 2, b))
+    for spans in found:
+        spans.sort()
+    new: list[tuple[int, int, int]] = []
+    at, base, reach = -1, [], []
     for row, a, _, text in runs(data, offsets, KEY_BYTES, SHORTEST):
-        base = [s for s in found[row] if s[1] < 3]
+        if row != at:
+            at, base = row, [s for s, _, _ in found[row]]
+            reach = list(accumulate((e for _, _, e in found[row]), max))  # how far spans that begin here or before go
         for x, y in high_entropy(text):
-            if not any(s <= a + x and a + y <= e for s, _, e in base):
-                found[row].append((a + x, 3, a + y))
+            before = bisect_right(base, a + x)
+            if not before or reach[before - 1] < a + y:
+                new.append((row, a + x, a + y))
+    for row, x, y in new:
+        found[row].append((x, 3, y))
     for spans in found:
         spans.sort()
     return found
@@ -150,7 +176,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_entropy, base, spans) for every row of ``docs`` (doc_id, text).
 
     ``base`` and ``spans`` are kind:start:end, comma-joined, of the fixed patterns and of everything found.
-    Null and empty texts have no spans; rows are taken one by one; other columns are not read.
+    Null and empty texts have no spans; a text of any length is read whole, in time that grows with its length; rows are
+    taken one by one, so repeated ones have a row each and an empty table gives none; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base string, spans string")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base string, spans string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -183,7 +210,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the secrets in ``text`` masked, and n_chars, where there is one, counted anew; the columns stay."""
+    """``docs`` with the secrets in ``text`` masked, and n_chars, where there is one, counted anew; the columns stay.
+
+    Every row stays, whatever its columns are called; null and empty texts stay as they are, and so does n_chars of a
+    text without secrets. Rows are taken one by one; an empty table stays empty.
+    """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -202,4 +233,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                     part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
