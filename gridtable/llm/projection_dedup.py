@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import cut
+from gridtable.llm.common import arrow, cut
 from gridtable.llm.graph import components
 
-#: Vectors of a block in which the links of a component are counted.
-BLOCK = 512
+#: Vectors of a block in which the links of a component are counted, and of a strip that is multiplied at once.
+BLOCK, STRIP = 2048, 256
 #: Windows of a span, the rows of a sorted order that one task compares.
 SPAN = 4
 #: Passes that run together.
@@ -199,9 +199,9 @@ def passes(heads: DataFrame, n: int, turn: int, s: Settings) -> DataFrame:
         })
 
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = heads.select("id", "v").mapInArrow(code, "id long, turn int, code binary")
+    coded = arrow(heads.select("id", "v"), code, "id long, turn int, code binary")
     spread = coded.repartitionByRange(parts, "turn", "code", "id").sortWithinPartitions("turn", "code", "id")
-    numbered = cut(spread.mapInArrow(number, "id long, turn int, code binary, part int, place long"))
+    numbered = cut(arrow(spread, number, "id long, turn int, code binary, part int, place long"))
     before, total = [], 0
     for part, rows in sorted(map(tuple, numbered.groupBy("part").count().collect())):
         before.append((part, total))
@@ -249,19 +249,70 @@ def joined(heads: DataFrame, s: Settings) -> list[DataFrame]:
     return edges
 
 
+def linked(x: np.ndarray, y: np.ndarray, s: Settings) -> Iterator[tuple[int, np.ndarray]]:
+    """For some rows of ``x`` at a time the number of the first and which rows of ``y`` each links with."""
+    for a in range(0, len(x), STRIP):
+        yield a, x[a : a + STRIP] @ y.T >= s.cosine
+
+
 def count_links(group: pa.Table, s: Settings) -> pa.Table:
-    """Links of the vectors of two blocks of a component across them, or within one block."""
+    """(id, n, other): what the vectors of two blocks of a component link with across them, those of one block with each
+    other, or those of each of several whole components with their own.
+
+    n adds up the weights of what an id links with. A link of which an end is marked is a row of its own too, with n 0.
+    """
+    group = group.sort_by("c")
     x, _ = matrix(group["v"])
-    ids, weight, block = group["id"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
+    ids, weight, marked = group["id"].to_numpy(), group["weight"].to_numpy(), group["marked"].to_numpy(zero_copy_only=False)
+    block, c = group["block"].to_numpy(), group["c"].to_numpy()
     i, j = group["bi"][0].as_py(), group["bj"][0].as_py()
-    one, two = block == i, block == j
-    close = x[one] @ x[two].T >= s.cosine
-    if i == j:
-        np.fill_diagonal(close, False)
-        out = {"id": ids[one], "n": close @ weight[two]}
+    if i < 0:
+        edges = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+        sides = [(np.arange(a, b),) * 2 for a, b in zip(edges, edges[1:], strict=False)]
     else:
-        out = {"id": np.concatenate([ids[one], ids[two]]), "n": np.concatenate([close @ weight[two], close.T @ weight[one]])}
-    return pa.table({"id": pa.array(out["id"], pa.int64()), "n": pa.array(out["n"], pa.int64())})
+        sides = [(np.flatnonzero(block == i), np.flatnonzero(block == j))]
+    n = np.zeros(len(ids), np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
+    for one, two in sides:
+        same = one is two or i == j
+        for a, close in linked(x[one], x[two], s):
+            some = one[a : a + len(close)]
+            if same:
+                close[np.arange(len(close)), a + np.arange(len(close))] = False
+            n[some] += close @ weight[two]
+            if not same:
+                n[two] += close.T @ weight[some]
+            if marked[some].any() or marked[two].any():
+                p, q = np.nonzero(close & (marked[some][:, None] | marked[two]))
+                pairs.append((ids[some[p]], ids[two[q]]))
+                if not same:
+                    pairs.append((ids[two[q]], ids[some[p]]))
+    left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return pa.table({
+        "id": pa.array(np.concatenate([ids, left]), pa.int64()),
+        "n": pa.array(np.concatenate([n, np.zeros(len(left), np.int64)])),
+        "other": pa.chunked_array([pa.nulls(len(ids), pa.int64()), pa.array(right, pa.int64())]),
+    })
+
+
+def counts(heads: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(id, n, other) of ``count_links`` for all heads (id, v, dims, weight, marked) that are in a component.
+
+    No link leaves a component (id, c), so each is compared with itself alone: small ones many to a task, large ones
+    block against block, which costs the square of their rows, as the number of their links may be.
+    """
+    placed = heads.join(found.toDF("id", "c"), "id")
+    size = placed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cut(placed.join(size, "c"))
+    rows = placed.where("blocks = 1").count()
+    whole, none = max(1, rows // BLOCK), F.lit(-1)
+    few = placed.where("blocks = 1").withColumns({"g": F.pmod(F.xxhash64("c"), F.lit(whole)), "bi": none, "bj": none, "block": none})
+    many = placed.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.withColumns({"g": F.col("c"), "bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    columns = ["g", "bi", "bj", "block", "c", "dims", "id", "weight", "marked", "v"]
+    both = few.select(columns).union(many.select(columns))
+    return both.groupBy("g", "dims", "bi", "bj").applyInArrow(lambda t: count_links(t, s), "id long, n long, other long")
 
 
 def near_vectors(vectors: DataFrame, ids: str = "vec_id", vector: str = "embedding", s: Settings = Settings()) -> DataFrame:
@@ -269,35 +320,65 @@ def near_vectors(vectors: DataFrame, ids: str = "vec_id", vector: str = "embeddi
 
     A link is a cosine of at least ``s.cosine`` in double precision between two ids. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths. Equal vectors are collapsed first and counted by their number; an id given
-    twice is one vertex, with the links of all its vectors. Rows without an id have no links, a null component_id and are kept. An
-    empty table gives an empty result; other columns are not read.
+    different lengths. Equal vectors are collapsed first and counted by their number. An id given
+    several times is one vertex, with the links of all its vectors, and n_links counts each other id
+    once, however many of its vectors are near. Rows without an id have no links, a null component_id and are kept. An
+    empty table gives an empty result; other columns are not read, whatever their names.
     """
     rows = cut(valid(vectors, ids, vector).dropDuplicates(["id", "v"]))
-    classes = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("dims").alias("dims"))
-    classes = cut(classes)
-    same = cut(rows.join(classes.select("v", "rep"), "v").select("id", "rep"))
-    heads = classes.select(F.col("rep").alias("id"), "v", "dims", "copies")
-    heads = cut(heads)
-    edges = same.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    several = cut(rows.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id", F.lit(True).alias("marked")))
+    classes = rows.join(several, "id", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    weight = F.sum((~F.col("marked")).cast("long")).alias("weight")  # ids that have this vector alone
+    classes = cut(classes.groupBy("v").agg(F.min("id").alias("rep"), weight, F.max("marked").alias("marked"), F.first("dims").alias("dims")))
+    # A representative that has several vectors stands for several classes, which have numbers of their own.
+    clash = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1")
+    if clash.isEmpty():
+        classes = classes.withColumn("head", F.col("rep"))
+    else:
+        classes = cut(classes.withColumn("head", F.monotonically_increasing_id()))
+    same = cut(rows.join(classes.select("v", "rep", "head", "weight", "marked"), "v").select("id", "rep", "head", "weight", "marked"))
+    heads = cut(classes.select(F.col("head").alias("id"), "v", "dims", "weight", "marked", "rep"))
+    names = heads.select(F.col("id").alias("head"), "rep")
+    edges = None
     for (dims,) in heads.select("dims").distinct().collect():
         own = heads.where(F.col("dims") == dims)
         for more in joined(own, s):
-            edges = edges.union(more)
-    found = cut(components(edges))
-
-    placed = heads.join(found.toDF("id", "c"), "id")
-    size = placed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(size, "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = both.select("c", "dims", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "copies", "v")
-    counted = both.groupBy("c", "dims", "bi", "bj").applyInArrow(lambda t: count_links(t, s), "id long, n long")
-    counted = counted.groupBy("id").agg(F.sum("n").alias("n"))
-    links = heads.select("id", "copies").join(counted, "id", "left")
-    links = links.select(F.col("id").alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    per = same.join(links, "rep").groupBy("id").agg(F.max("n_links").alias("n_links"))
+            edges = more if edges is None else edges.union(more)
+    ties = same.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    if edges is not None:
+        edges = edges.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    found = cut(components(ties if edges is None else ties.union(edges)))
+
+    of_heads = names.join(found.toDF("rep", "c"), "rep").select("head", "c")
+    counted = cut(counts(heads, of_heads, s))
+    direct = counted.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n")).toDF("head", "n")
+    links = same.join(direct, "head", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    single = links.join(several, "id", "left_anti").select("id", "head", (F.col("n") + F.col("weight") - 1).alias("n_links"))
+    if several.isEmpty():
+        per = single.select("id", "n_links")
+    else:
+        per = with_several(single, same, several, counted)
 
     out = vectors.select(F.col(ids).cast("long").alias("id")).join(per, "id", "left").join(found.toDF("id", "component"), "id", "left")
     component = F.coalesce("component", "id")
     kept = F.coalesce(F.col("id") == component, F.lit(True))
     return out.select(F.col("id").alias(ids), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+
+
+def with_several(single: DataFrame, same: DataFrame, several: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id, n_links) of all ids, where ``several`` have more than one vector.
+
+    single (id, head, n_links) has what the other ids link with among themselves; same (id, head, weight, marked) the
+    vectors of all ids; counted the links of which an end belongs to one of the several.
+    """
+    mine = same.join(several.select("id"), "id", "left_semi").select("id", "head")
+    own = same.where("marked").select(F.col("head").alias("a"), F.col("head").alias("b")).distinct()
+    reach = cut(counted.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).union(own).distinct())
+    near = reach.join(mine.toDF("m", "b"), "b").select("a", "m").distinct().groupBy("a").agg(F.count("*").alias("more"))
+    plain = single.join(near.withColumnRenamed("a", "head"), "head", "left").select("id", (F.col("n_links") + F.coalesce("more", F.lit(0))).alias("n_links"))
+    wide = mine.withColumnRenamed("head", "a").join(reach, "a").select("id", "b").distinct()
+    weights = same.select(F.col("head").alias("b"), "weight").distinct()
+    ones = wide.join(weights, "b").groupBy("id").agg(F.sum("weight").alias("ones"))
+    others = wide.join(mine.toDF("m", "b"), "b").where("m <> id").select("id", "m").distinct().groupBy("id").agg(F.count("*").alias("others"))
+    both = ones.join(others, "id", "left").select("id", (F.col("ones") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return plain.union(both)

@@ -5,27 +5,61 @@ from gridtable.llm import projection_dedup as m
 
 
 def brute(vectors, least):
+    """Links and component of each id; an id that comes with several vectors has the links of all."""
     ids = sorted({i for i, _ in vectors if i is not None})
-    good = {}
+    good = []
     for i, v in vectors:
         if i is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and np.any(v):
-            good[i] = np.array(v, float) / np.linalg.norm(v)
-    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+            good.append((i, np.array(v, float) / np.linalg.norm(v)))
+    root, links = {i: i for i in ids}, {i: set() for i in ids}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    known = sorted(good)
-    for n, a in enumerate(known):
-        for b in known[n + 1 :]:
-            if len(good[a]) == len(good[b]) and good[a] @ good[b] >= least:
-                links[a] += 1
-                links[b] += 1
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (links[i], find(i)) for i in ids}
+    for n, (a, x) in enumerate(good):
+        for b, y in good[n + 1 :]:
+            if a != b and len(x) == len(y) and x @ y >= least:
+                links[a].add(b)
+                links[b].add(a)
+                i, j = find(a), find(b)
+                root[max(i, j)] = min(i, j)
+    return {i: (len(links[i]), find(i)) for i in ids}
+
+
+def shown(table):
+    return {r.vec_id: (r.n_links, r.component_id) for r in m.near_vectors(table).collect()}
+
+
+def test_repeated_ids(spark):
+    """An id with several vectors is one vertex, and counts once as a link of another."""
+    near = lambda k: [1.0, 0.05 * k, 0.0, 0.0]
+    far = [0.0, 0.0, 1.0, 0.0]
+    for rows in (
+        [(1, near(0)), (1, near(1)), (3, near(2)), (2, far)],
+        [(1, near(0)), (1, near(1)), (2, far)],
+        [(1, near(0)), (1, far), (2, far), (2, far), (3, near(1)), (4, near(0)), (5, [0.0, 0.0, 1.0, 0.01])],
+        [(7, near(0)), (7, far), (7, [0.0, 1.0])],
+        [(1, near(0)), (2, near(0)), (1, far), (2, far), (3, far), (3, near(2))],
+    ):
+        table = spark.createDataFrame([*rows, (9, None)], "vec_id long, embedding array<double>")
+        assert shown(table) == brute([*rows, (9, None)], 0.95)
+        assert m.near_vectors(table).count() == len(rows) + 1
+
+
+def test_many_repeated_ids_as_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16))
+    rows = [(int(rng.integers(0, 90)), (centres[k % 12] + 0.15 * rng.standard_normal(16)).tolist()) for k in range(150)]
+    rows += [(int(rng.integers(0, 90)), rows[k][1]) for k in range(40)]  # equal vectors of other ids
+    assert shown(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows, 0.95)
+
+
+def test_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 5, "x", 2, 3.0), (2, [1.0, 0.01], 6, "y", 2, 4.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, v string, c int, n_links double")
+    assert shown(table) == {1: (1, 1), 2: (1, 1)}
 
 
 def test_against_brute_force(spark):
@@ -36,7 +70,7 @@ def test_against_brute_force(spark):
         for _ in range(rng.integers(1, 6)):
             vectors.append(centre + 0.12 * rng.standard_normal(32))
     crowd = rng.standard_normal(32)
-    vectors += [crowd + 0.1 * rng.standard_normal(32) for _ in range(700)]  # more than a block and a window
+    vectors += [crowd + 0.1 * rng.standard_normal(32) for _ in range(2500)]  # more than a block and a window
     vectors += [vectors[3]] * 4 + [2 * vectors[3]]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.array(vectors)[rng.permutation(len(vectors))])]
     rows += [(5000, None), (5001, []), (5002, [0.0] * 32), (5003, [float("nan")] * 32), (5004, [None] * 32), (5005, [1.0, 2.0]), (5006, [1.0, 2.0]), (None, [1.0, 2.0]), (5007, [float("inf")] + [1.0] * 31)]
