@@ -2,12 +2,12 @@
 
 One pass over the texts gives each document the size and a 128-bit fingerprint of its shingle set, the
 band keys of its minima, and the low bits of the minima packed into a few longs. Documents of equal
-sets form a class that its least doc_id stands for; only classes go on. Classes that share a band key
-are candidates: in a few turns each is held against one class of its bucket, another in each turn, and
-where components still differ after that, what is not in a bucket's largest component is held against
-every member, by longer signatures. A pair is first estimated from the packed bits (matches corrected
-for chance collisions) and then confirmed on full sets. Nothing is capped: a bucket costs its size, and
-more only for members that the turns do not explain.
+sets form a class that one row stands for; only classes go on. Classes that share a band key are
+candidates: in a few turns each is held against one class of its bucket, another in each turn. What is
+still in buckets of several components then goes through a prefix filter: two similar sets share one
+of their rarest shingles, so that texts which have only common passages in common never meet. A pair is
+first estimated from the packed bits (matches corrected for chance collisions) and then confirmed on
+full sets, which are written once. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import bounded, cut, lower_ascii, mix, slices, span_hashes, utf8, word_spans
+from gridtable.llm.common import arrow, bounded, cut, lower_ascii, mix, slices, span_hashes, utf8, word_spans
 from gridtable.llm.graph import components
 
 #: Words are runs of anything but \x20 and \x09-\x0D.
@@ -36,7 +36,7 @@ class Settings:
     """shingle words a shingle; percent: the least Jaccard similarity; rows: minima a band; miss: the
     chance that a pair at the threshold shares no band; sigmas: how far below the threshold an
     estimate may fall before a pair is given up; turns: members of a bucket that all others are held
-    against; fine: minima of the longer signatures."""
+    against."""
 
     shingle: int = 5
     percent: int = 80
@@ -44,7 +44,6 @@ class Settings:
     miss: float = 1e-8
     sigmas: float = 5.5
     turns: int = 3
-    fine: int = 2048
 
     @property
     def bands(self) -> int:
@@ -145,19 +144,6 @@ def signer(s: Settings):
     return run
 
 
-def fine_signer(s: Settings):
-    """For mapInArrow: (doc_id, text) to (doc_id, n, print_a, print_b, bits) with ``fine`` minima."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                sets, size = distinct_sets(*shingle_hashes(*utf8(part.column(1)), s.shingle))
-                bits = _lists(packed(mixed_minima(sets, size, s.fine)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *prints(sets, size), bits], names=["doc_id", "n", "print_a", "print_b", "bits"])
-
-    return run
-
-
 def prints(sets: np.ndarray, size: np.ndarray) -> list[pa.Array]:
     """n_shingles, print_a and print_b of each row's set."""
     a = _sums(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), size)
@@ -171,7 +157,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def set_reader(s: Settings):
-    """For mapInArrow: (doc_id, text) to (doc_id, items), the whole shingle set."""
+    """For mapInArrow: (doc_id, text) to (doc_id, n_shingles, print_a, print_b, items), the whole shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +165,7 @@ def set_reader(s: Settings):
                 sets, size = distinct_sets(*shingle_hashes(*utf8(part.column(1)), s.shingle))
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(at), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), items], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *prints(sets, size), items], names=["doc_id", "n_shingles", "print_a", "print_b", "items"])
 
     return run
 
@@ -199,91 +185,107 @@ def similar_sizes(s: Settings, a: str, b: str) -> Column:
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * s.percent
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = cut(pairs.select("a", "b"))
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    wanted = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
-    sets = cut(wanted.mapInArrow(set_reader(s), "doc_id long, items array<long>"))
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+#: What a class is known by.
+KEY = ["n_shingles", "print_a", "print_b"]
+
+
+def whole_sets(docs: DataFrame, heads: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(h, items) of the ``wanted`` heads (h): their shingle sets, read from the texts once."""
+    heads = heads.join(bounded(wanted), "h", "left_semi").select("h", "doc_id", *KEY)
+    texts = docs.join(bounded(cut(heads.select("doc_id").distinct())), "doc_id", "left_semi")
+    read = arrow(texts, set_reader(s), "doc_id long, n_shingles long, print_a long, print_b long, items array<long>")
+    same = ["doc_id", *KEY]
+    return cut(read.dropDuplicates(same).join(heads, same).select("h", "items"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of those of the ``pairs`` (hub, doc: heads; a, b: their doc_ids) whose full sets are similar enough.
+
+    The hub's set is joined last and not shuffled again, so that it moves once, however many it is held against.
+    """
+    joined = pairs.join(sets.toDF("doc", "y"), "doc").join(sets.toDF("hub", "x"), "hub")
     both = F.size(F.array_intersect("x", "y"))
     joined = joined.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
-    return joined.where(F.col("both") * 100 >= F.col("either") * s.percent).select("a", "b").distinct()
+    return cut(joined.where(F.col("both") * 100 >= F.col("either") * s.percent).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id: long, text).
 
     A set with no words (null or empty text) links with nothing, equal sets link always. Rows that share
-    a doc_id are one vertex. A row without doc_id links with nothing, has a null component_id and is kept.
-    An empty table gives an empty result; columns besides doc_id and text are not read.
+    a doc_id are one vertex, with the links of all its texts. A row without doc_id links with nothing, has a null
+    component_id and is kept. Texts of any length are read whole. An empty table gives an empty result; columns
+    besides doc_id and text are not read, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, print_a long, print_b long, bits array<long>, keys array<long>"
-    signed = cut(docs.mapInArrow(signer(s), schema))
+    signed = cut(arrow(docs, signer(s), schema))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = ["n_shingles", "print_a", "print_b"]
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy(*KEY).agg(F.min("doc_id").alias("rep"))
     # Nothing but the write follows this join, so that Spark can split a class of many copies.
-    members = cut(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep"))
-    heads = full.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
-    heads = cut(heads.dropDuplicates(["doc_id", *key]))
+    members = cut(full.select("doc_id", *KEY).join(classes, KEY).select("doc_id", "rep"))
+    heads = full.join(classes.withColumnRenamed("rep", "doc_id"), [*KEY, "doc_id"], "left_semi").dropDuplicates(KEY)
+    heads = cut(heads.withColumn("h", F.monotonically_increasing_id()))  # a doc_id may stand for several classes
 
-    bands = heads.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    bands = heads.select("h", F.col("doc_id").alias("c"), F.posexplode("keys").alias("band", "key"))
     crowd = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    spots = cut(bands.join(crowd, ["band", "key"]).withColumn("c", F.col("doc_id")))
-    sketch = heads.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    a, b = sketch.toDF("a", "na", "xa"), sketch.toDF("b", "nb", "xb")
-    fits = similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
-
+    spots = cut(bands.join(crowd, ["band", "key"]))
+    sketch = heads.select("h", "doc_id", F.col("n_shingles").alias("n"), "bits")
     links = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    sets = None if spots.isEmpty() else whole_sets(docs, heads, cut(spots.select("h").distinct()), s)
     for turn in range(s.turns):
         if spots.isEmpty():
             break
-        rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        hubs = spots.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "c")).alias("hub"))
-        stars = spots.join(hubs, ["band", "key"]).where("c <> hub.c")
-        stars = stars.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
-        links = cut(links.union(confirmed(docs, stars.join(a, "a").join(b, "b").where(fits), s)))
-        found = cut(components(links)).toDF("doc_id", "now")
-        spots = spots.join(found, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("now", "doc_id").alias("c"))
+        rank = F.col("c") if turn == 0 else F.xxhash64("h", F.lit(turn))
+        hubs = spots.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "h", "c")).alias("hub"))
+        stars = spots.join(hubs, ["band", "key"]).where("c <> hub.c").select(F.col("hub.h").alias("hub"), F.col("h").alias("doc")).distinct()
+        links = links.union(confirmed(cut(estimated(stars, sketch, s)), sets, s))
+        found = cut(components(links)).toDF("c", "now")
+        spots = spots.join(found, "c", "left").select("h", "band", "key", F.coalesce("now", "c").alias("c"))
         mixed = spots.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         spots = cut(spots.join(mixed.select("band", "key"), ["band", "key"]))
 
-    whole = components(links) if spots.isEmpty() else components(links.union(unexplained(docs, spots, heads, s)))
+    whole = components(links) if spots.isEmpty() else components(links.union(unexplained(spots, sketch, sets, s)))
     out = signed.select("doc_id", "n_shingles").join(whole.toDF("doc_id", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def unexplained(docs: DataFrame, spots: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) within buckets (band, key, doc_id, c: component) between components: what is not in its
-    bucket's largest component against the whole bucket, by the longer signatures."""
-    sizes = spots.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "c"))["c"].alias("most"))
-    ids = cut(spots.select("doc_id").distinct())
-    wanted = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
-    fine = wanted.mapInArrow(fine_signer(s), "doc_id long, n long, print_a long, print_b long, bits array<long>")
-    # An id may have several sets: each has its own signature and keys, and is in the buckets of its keys.
-    same = ["doc_id", "n", "print_a", "print_b"]
-    keys = heads.withColumnRenamed("n_shingles", "n").select(*same, "keys")
-    fine = cut(fine.dropDuplicates(same).join(keys, same).select("doc_id", "n", "bits", "keys"))
-    spots = spots.dropDuplicates(["band", "key", "doc_id"])
-    rest = spots.join(largest, ["band", "key"]).join(fine, "doc_id").withColumn("open", F.col("c") != F.col("most"))
-    rest = rest.where(F.element_at("keys", F.col("band") + 1) == F.col("key"))
-    one = rest.where("open").select("band", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("keys").alias("ka"))
-    two = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("keys").alias("kb"), F.col("open").alias("ob"))
-    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    once = (F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & first  # in the first band that they share
-    again = one.join(two, ["band", "key"]).where(once & similar_sizes(s, "na", "nb")).where(similar_bits(s, "xa", "xb", s.fine))
-    return confirmed(docs, again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), s)
+def estimated(pairs: DataFrame, sketch: DataFrame, s: Settings) -> DataFrame:
+    """(hub, doc, a, b) of the pairs (hub, doc) that sizes and packed bits let be similar enough."""
+    one, two = sketch.toDF("hub", "a", "na", "xa"), sketch.toDF("doc", "b", "nb", "xb")
+    fits = similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
+    return pairs.join(two, "doc").join(one, "hub").where(fits).select("hub", "doc", "a", "b")
+
+
+def unexplained(spots: DataFrame, sketch: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between components (c) among the heads (h) of buckets that are still mixed.
+
+    A set similar to one of n shingles has at least n * percent / 100 of them, so that two similar sets share one of
+    their n - ceil(n * percent / 100) + 1 first shingles in any order that is the same for all. Here the rarest come
+    first: what only passages of many texts have in common is then no candidate.
+    """
+    own = cut(spots.select("h", "c").distinct().join(sets, "h").select("h", "c", F.size("items").alias("n"), F.explode("items").alias("item")))
+    often = own.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    shared = own.join(often, "item").groupBy("h", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("known"))
+    alone = F.col("n") - F.size("known")  # shingles that no other text has, which come before
+    prefix = F.col("n") - F.ceil(F.col("n") * s.percent / F.lit(100)).cast("int") + 1 - alone
+    first = shared.where(prefix > 0).select("h", "c", F.explode(F.slice("known", F.lit(1), prefix)).alias("x"))
+    first = cut(first.select("h", "c", F.col("x.item").alias("item")))
+    mixed = first.groupBy("item").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    first = first.join(mixed.select("item"), "item").join(sketch, "h")
+    one = first.select("item", F.col("h").alias("hub"), F.col("c").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = first.select("item", F.col("h").alias("doc"), F.col("c").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    near = (F.col("ca") != F.col("cb")) & (F.col("hub") < F.col("doc")) & similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
+    return confirmed(cut(one.join(two, "item").where(near).select("hub", "doc", "a", "b").distinct()), sets, s)
 
 
 def drop_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, the one of least doc_id; the columns stay.
+    """``docs`` with one row of each near-duplicate group, the one of least doc_id; the columns stay, whatever their names.
 
-    Repeated rows of that doc_id are reduced to one. Rows without doc_id stay.
+    Repeated rows of that doc_id are reduced to one. Rows without doc_id stay, as do null and empty texts, which are
+    near nothing. An empty table stays empty.
     """
     found = cut(near_duplicates(docs, s))
     gone = cut(found.where("NOT kept").select("doc_id").distinct())

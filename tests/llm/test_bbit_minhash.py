@@ -94,3 +94,24 @@ def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = m.near_duplicates(docs, m.Settings(turns=0)).collect()  # all is left to the last step
     assert {r.component_id for r in got} == {1}
+
+
+@pytest.mark.parametrize("turns", [0, 3])
+def test_boilerplate(spark, turns):
+    """Texts that share most of their words and are no copies, and copies among them; all is left to the prefixes, or the last."""
+    rng = random.Random(8)
+    common = [f"common{i}" for i in range(110)]
+    rows = []
+    for i in range(120):
+        own = [f"own{i}x{k}" for k in range(rng.randrange(20, 60))]
+        rows.append((i, " ".join([*common, *own])))
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((500 + i, " ".join([*common, *own])))
+        if i % 10 == 0:
+            rows.append((900 + i, " ".join(common[: 110 - i // 10])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = m.near_duplicates(df, m.Settings(shingle=3, percent=85, turns=turns)).collect()
+    want = brute(rows, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 40 < len({c for _, c in want.values()}) < len(rows)
