@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,10 +24,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new folder for cut lineage in spark.checkpoint.dir. Where that is unset a cluster is an error, and a session on
+    one machine, as in tests, has one made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not base:  # one machine
+        base = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gridtable-{uuid.uuid4().hex}"
 
@@ -52,10 +58,24 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     conf = df.sparkSession.conf
     if conf.get(LIMIT) == DEFAULT_LIMIT:
         conf.set(LIMIT, str(BATCH))
-    return df.mapInArrow(run, schema)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for other tasks beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``most`` bytes of text, or one longer row."""
     if not batch.num_rows:
         return
@@ -96,11 +116,15 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[name]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:n]
+    """Powers from 0 on. A long text's table is not kept."""
+    if len(_powers[name]) >= n:
+        return _powers[name][:n]
+    steps = np.full(max(n, 1 << 16), base, np.uint64)
+    steps[0] = 1
+    table = np.multiply.accumulate(steps)
+    if n <= 4 << 20:
+        _powers[name] = table
+    return table[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

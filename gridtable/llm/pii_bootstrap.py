@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import cut, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
+from gridtable.llm.common import arrow, cut, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -127,7 +127,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 p, x, k = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.array(k, pa.int32()), pa.array(edges.values(), pa.int64())], names=["pattern", "instance", "kind", "n"])
 
-    edges = docs.select("text").mapInArrow(run, EDGE)
+    edges = arrow(docs.select("text"), run, EDGE)
     return edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
 
 
@@ -175,7 +175,7 @@ def occurrences(docs: DataFrame, patterns: np.ndarray, s: Settings) -> DataFrame
                 p, x = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.nulls(len(p), pa.int32()), pa.array(edges.values(), pa.int64())], names=["pattern", "instance", "kind", "n"])
 
-    edges = docs.select("text").mapInArrow(run, EDGE)
+    edges = arrow(docs.select("text"), run, EDGE)
     return edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
 
 
@@ -266,7 +266,7 @@ def extract(docs: DataFrame, patterns: DataFrame, s: Settings = Settings()) -> D
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_found", "base", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base string, spans string")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base string, spans string")
 
 
 def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
