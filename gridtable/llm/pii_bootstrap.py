@@ -4,15 +4,19 @@ What the fixed patterns find seeds the search. The words before a seed are a lex
 kind; a pattern's instances are the identifier-like strings that follow it anywhere in the corpus. Spark
 scores the bipartite graph of patterns and instances in turns: a pattern is trusted by the trust in its
 instances over all its occurrences, an instance by the chance that not all its patterns are wrong.
-Patterns of high trust then find identifiers that no fixed pattern describes.
+What patterns of high trust discover then stands as seed for the next generation of patterns. In the
+end the trusted ones find identifiers that no fixed pattern describes. The graph is a table; all that is
+broadcast is of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +39,23 @@ SPACES = np.array([b in (0x20, 9, 10, 11, 12, 13) for b in range(256)])
 WORDS = ~SPACES
 DIGITS = np.array([0x30 <= b <= 0x39 for b in range(256)])
 LOWER = lower_ascii()
-#: Patterns that one pass over the texts counts; more go in more passes.
+#: Patterns that are looked for in one pass over the texts, at 12 bytes each; more go in more passes.
 BLOCK = 1_000_000
+#: Most bits of the table that tells which words cannot be patterns, and bits for each pattern below that.
+BITS, EACH = 1 << 27, 16
 EDGE = "pattern long, instance long, kind int, n long"
 
 
 @dataclass(frozen=True)
 class Settings:
     """support: distinct seeds that a pattern needs; trust: what a pattern needs to be used; turns of the
-    scoring; digits: digits, or an @, make a word identifier-like."""
+    scoring; generations of patterns, of which the first comes from the fixed patterns' seeds; digits: digits, or an @,
+    make a word identifier-like."""
 
     support: int = 4
     trust: float = 0.6
     turns: int = 4
+    generations: int = 3
     digits: int = 4
 
 
@@ -112,25 +120,6 @@ def core(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>*#$%&|")
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, kind, n): the contexts of what the fixed patterns find."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edges: Counter[tuple[int, int, int]] = Counter()
-            for text in batch.column(0).to_pylist():
-                for kind, a, b in base_spans(text) if text else []:
-                    before = re.findall(r"[^\x20\x09-\x0D]+", text[max(0, a - 120) : a])
-                    for pattern in contexts(before):
-                        edges[pattern, hashed(text[a:b]), kind] += 1
-            if edges:
-                p, x, k = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.array(k, pa.int32()), pa.array(edges.values(), pa.int64())], names=["pattern", "instance", "kind", "n"])
-
-    edges = arrow(docs.select("text"), run, EDGE)
-    return edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
-
-
 class Text:
     """Words of some rows as arrays: byte spans, rows, hashes, patterns that end with each word, and which look like identifiers."""
 
@@ -148,58 +137,113 @@ class Text:
         self.like = (digits[self.ends] - digits[starts] >= least) | (at[self.ends] > at[starts])
 
 
-def occurrences(docs: DataFrame, patterns: np.ndarray, s: Settings) -> DataFrame:
-    """(pattern, instance, kind, n) of every place of the patterns (sorted): instance is null where what follows is no identifier."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+def batch_of(edges: Counter[tuple[int, int | None, int | None]]) -> pa.RecordBatch:
+    p, x, k = zip(*edges, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.array(k, pa.int32()), pa.array(edges.values(), pa.int64())], names=["pattern", "instance", "kind", "n"])
+
+
+def gather(docs: DataFrame, s: Settings) -> DataFrame:
+    """(pattern, instance, kind, n): the contexts of what the fixed patterns find, and with a null kind those of every
+    word that is like an identifier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges: Counter[tuple[int, int | None, int | None]] = Counter()
+            for part in slices(batch, "text"):
+                for text in part.column(0).to_pylist():
+                    for kind, a, b in base_spans(text) if text else []:
+                        before = re.findall(r"[^\x20\x09-\x0D]+", text[max(0, a - 120) : a])
+                        for pattern in contexts(before):
+                            edges[pattern, hashed(text[a:b]), kind] += 1
+                words = Text(part.column(0), s.digits)
+                at = np.flatnonzero(words.like & words.same)
+                for i, pair in zip(at.tolist(), (words.same[at - 1]).tolist(), strict=True):
+                    word = core(words.data[words.starts[i] : words.ends[i]].tobytes().decode())
+                    if word:
+                        instance = hashed(word)
+                        edges[int(words.word[i - 1]), instance, None] += 1
+                        if pair:
+                            edges[int(words.two[i - 1]), instance, None] += 1
+            if edges:
+                yield batch_of(edges)
+
+    return arrow(docs.select("text"), run, EDGE).groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
+
+
+def sieve(patterns: DataFrame, n: int) -> np.ndarray:
+    """A table of bits, at the places of the ``n`` patterns' hashes; of BITS bits at most, however many there are."""
+    bits = min(BITS, max(1 << 16, 1 << (EACH * n).bit_length()))
+    at = F.col("pattern").bitwiseAND(F.lit(bits - 1))
+    one = F.expr("shiftleft(1L, cast(pattern & 63 as int))")
+    rows = patterns.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return table
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for what cannot be a pattern."""
+    at = hashes & ((len(table) << 6) - 1)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, places): how often a word follows each of the ``patterns`` (pattern), whatever it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(patterns, patterns.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        table = np.zeros(1 << 20, bool)
-        table[own & 0xFFFFF] = True
+        table = shared.value
         for batch in batches:
-            edges: Counter[tuple[int, int | None]] = Counter()
+            edges: Counter[int] = Counter()
             for part in slices(batch, "text"):
-                text = Text(part.column(0), s.digits)
+                text = Text(part.column(0), 0)
                 follows = np.append(text.same[1:], False)
                 for found, there in ((text.word, follows), (text.two, follows & text.same)):
-                    at = np.flatnonzero(there & table[found & 0xFFFFF])
-                    at = at[own[np.minimum(np.searchsorted(own, found[at]), len(own) - 1)] == found[at]]
-                    plain = at[~text.like[at + 1]]
-                    values, counts = np.unique(found[plain], return_counts=True)
+                    values, counts = np.unique(found[there & passes(table, found)], return_counts=True)
                     for v, n in zip(values.tolist(), counts.tolist(), strict=True):
-                        edges[v, None] += n
-                    for i in at[text.like[at + 1]].tolist():
-                        word = core(text.data[text.starts[i + 1] : text.ends[i + 1]].tobytes().decode())
-                        edges[int(found[i]), hashed(word) if word else None] += 1
+                        edges[v] += n
             if edges:
-                p, x = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.nulls(len(p), pa.int32()), pa.array(edges.values(), pa.int64())], names=["pattern", "instance", "kind", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(edges.keys(), pa.int64()), pa.array(edges.values(), pa.int64())], names=["pattern", "n"])
 
-    edges = arrow(docs.select("text"), run, EDGE)
-    return edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    counted = arrow(docs.select("text"), run, "pattern long, n long").join(patterns, "pattern", "left_semi")
+    return counted.groupBy("pattern").agg(F.sum("n").alias("places"))
 
 
 def trusted(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(pattern, kind, trust, places): the patterns that are used, each for its most likely kind."""
-    found = cut(seeds(docs))
-    likely = found.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= s.support)
-    likely = cut(likely.select("pattern"))
-    edges, block = None, []
-    for r in likely.orderBy("pattern").toLocalIterator():
-        block.append(r[0])
-        if len(block) == BLOCK:
-            edges = _more(edges, occurrences(docs, np.array(block, np.int64), s))
-            block = []
-    if block:
-        edges = _more(edges, occurrences(docs, np.array(block, np.int64), s))
-    if edges is None:
-        return docs.sparkSession.createDataFrame([], "pattern long, kind int, trust double, places long")
+    """(pattern, kind, trust, places): the patterns that are used, each for its most likely kind, a lesser one of equals.
+
+    Null and empty texts have no patterns; repeated rows count as often; a corpus without seeds, or an empty table,
+    gives no rows. Columns besides text are not read, whatever their names.
+    """
+    edges = cut(gather(docs, s))
+    found, known = edges.where("kind IS NOT NULL"), edges.where("kind IS NOT NULL").select("instance").distinct()
+    linked = cut(edges.where("kind IS NULL").drop("kind").join(known, "instance", "left_anti"))
     # A seed of several words is counted from its own edges; what else stands there, from the places.
-    of_seeds = found.join(likely, "pattern").groupBy("pattern", "kind").agg(F.sum("n").alias("seeded"))
-    places = edges.groupBy("pattern").agg(F.sum("n").alias("places"))
-    known = found.select("instance", "kind").distinct()
-    linked = cut(edges.where("instance IS NOT NULL").join(known.select("instance").distinct(), "instance", "left_anti"))
-    base = cut(of_seeds.join(places, "pattern").withColumn("trust", F.least(F.lit(1.0), F.col("seeded") / F.greatest("places", "seeded"))))
+    of_seeds = cut(found.groupBy("pattern", "kind").agg(F.sum("n").alias("seeded")))
+    fresh = cut(found.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= s.support).select("pattern"))
+    kinds = of_seeds.select("pattern", "kind")
+    best = docs.sparkSession.createDataFrame([], "pattern long, kind int, trust double, places long")
+    places = None
+    for generation in range(s.generations):
+        if fresh.isEmpty():
+            break
+        counted = cut(occurrences(docs, fresh))
+        places = counted if places is None else cut(places.union(counted))
+        base = kinds.join(places, "pattern").join(of_seeds, ["pattern", "kind"], "left").withColumn("seeded", F.coalesce("seeded", F.lit(0)))
+        base = cut(base.withColumn("trust", F.least(F.lit(1.0), F.col("seeded") / F.greatest("places", "seeded"))))
+        best = cut(scored(base, linked.join(places.select("pattern"), "pattern", "left_semi"), s))
+        if generation + 1 < s.generations:
+            believed = linked.join(best.select("pattern", "kind"), "pattern").select("instance", "kind").distinct()
+            more = linked.join(believed, "instance")
+            support = more.groupBy("pattern").agg(F.countDistinct("instance").alias("k")).where(F.col("k") >= s.support).select("pattern")
+            fresh = cut(support.join(places.select("pattern"), "pattern", "left_anti"))
+            kinds = cut(kinds.union(more.join(fresh, "pattern", "left_semi").select("pattern", "kind")).distinct())
+    return best
+
+
+def scored(base: DataFrame, linked: DataFrame, s: Settings) -> DataFrame:
+    """The trusted of the patterns ``base`` (pattern, kind, seeded, places, trust), after turns between them and the
+    instances that they are ``linked`` with (pattern, instance, n)."""
     trust = base
     for _ in range(s.turns):
         doubt = F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999))))
@@ -211,11 +255,6 @@ def trusted(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return best.select("pattern", (-F.col("m.kind")).alias("kind"), F.col("m.trust").alias("trust"), F.col("m.places").alias("places"))
 
 
-def _more(edges: DataFrame | None, more: DataFrame) -> DataFrame:
-    more = cut(more)
-    return more if edges is None else edges.unionByName(more)
-
-
 def discovered(part: pa.Array, patterns: np.ndarray, kinds: np.ndarray, s: Settings) -> dict[int, list[tuple[int, int, int]]]:
     """For each row the (kind, start, end) of identifiers after trusted patterns, in code points."""
     text = Text(part, s.digits)
@@ -224,7 +263,6 @@ def discovered(part: pa.Array, patterns: np.ndarray, kinds: np.ndarray, s: Setti
     if not len(after) or not len(patterns):
         return found
     for hashes, at in ((text.word, after), (text.two, after[text.same[after - 1]])):
-        at = at[at > 0]
         pos = np.minimum(np.searchsorted(patterns, hashes[at - 1]), len(patterns) - 1)
         hit = patterns[pos] == hashes[at - 1]
         for i, k in zip(at[hit].tolist(), kinds[pos[hit]].tolist(), strict=True):
@@ -242,33 +280,77 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+ROW = "doc_id long, text string, more array<struct<kind: int, start: long, end: long>>"
+
+
+def blocks(patterns: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The patterns and their kinds, sorted, in as many parts as there are BLOCKs of them; each part is of bounded size."""
+    n = patterns.count()
+    parts = -(-n // BLOCK)
+    for k in range(parts):
+        some = patterns if parts == 1 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k)
+        rows = some.select("pattern", "kind").orderBy("pattern").toArrow()
+        yield rows["pattern"].to_numpy(), rows["kind"].to_numpy()
+
+
 def extract(docs: DataFrame, patterns: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_found, base, spans) for every row of ``docs`` (doc_id, text).
 
     ``base`` and ``spans`` are kind:start:end, comma-joined, of the fixed patterns and of everything found;
     what a trusted pattern finds is of the pattern's kind and overlaps no span of the fixed patterns.
-    Null and empty texts have no spans; rows are taken one by one; other columns are not read. The
-    patterns, which pass a threshold of trust, are broadcast, sorted, at 12 bytes each.
+    Null and empty texts have no spans, long ones are read whole; rows are taken one by one, so repeated ones have a row
+    each and an empty table gives none; other columns are not read. The patterns are broadcast, a BLOCK of them at a
+    time: with more of them the spans found so far are written with the rows for the next pass.
     """
-    rows = sorted({(r["pattern"], r["kind"]) for r in patterns.select("pattern", "kind").toLocalIterator()})
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([p for p, _ in rows], np.int64), np.array([k for _, k in rows], np.int32)))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    last = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int32)))
+    for k, block in enumerate(blocks(patterns)):
+        if k:
+            rows = cut(arrow(rows, collector(last, s), ROW))
+        last.destroy()
+        last = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kinds = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 base = [base_spans(t) if t else [] for t in part.column(1).to_pylist()]
-                more = discovered(part.column(1), own, kinds, s)
-                new = [sorted({x for x in more.get(i, ()) if not any(a < x[2] and x[1] < b for _, a, b in spans)}) for i, spans in enumerate(base)]
+                more = spans_so_far(part, *last.value, s)
+                new = []
+                for spans, found in zip(base, more, strict=True):
+                    taken = sorted((a, b) for _, a, b in spans)
+                    reach = list(accumulate((b for _, b in taken), max))
+                    free = lambda x: not (k := bisect_left(taken, (x[2], 0))) or reach[k - 1] <= x[1]  # noqa: E731, B023
+                    new.append(sorted({x for x in found if free(x)}))
                 count = [[sum(k == i for k, _, _ in spans) for spans in base] for i in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array([len(x) for x in new], pa.int64()), pa.array([joined(x) for x in base]), pa.array([joined(sorted(x + y)) for x, y in zip(base, new, strict=True)])],
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_found", "base", "spans"],
                 )
 
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base string, spans string")
+    return arrow(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base string, spans string")
+
+
+def spans_so_far(part: pa.RecordBatch, patterns: np.ndarray, kinds: np.ndarray, s: Settings) -> list[list[tuple[int, int, int]]]:
+    """For each row what these patterns find, and what earlier ones did, which its column ``more`` holds."""
+    found = discovered(part.column(1), patterns, kinds, s)
+    old = part.column(2).to_pylist() if part.num_columns > 2 else [[]] * part.num_rows
+    return [[(x["kind"], x["start"], x["end"]) for x in more or []] + found.get(i, []) for i, more in enumerate(old)]
+
+
+def collector(share, s: Settings):
+    """For mapInArrow: rows with what a broadcast block of patterns finds added to ``more``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans_so_far(part, *share.value, s)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(spans, kind)], names=["doc_id", "text", "more"])
+
+    return run
 
 
 def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``extract`` with the patterns that ``docs`` itself gives."""
+    """``extract`` with the patterns that ``docs`` itself gives, and as there for nulls, repeated rows and empty tables."""
     return extract(docs, trusted(docs, s), s)

@@ -69,6 +69,55 @@ def test_unseen_identifiers_are_found(corpus):
         assert all(kind == "email" for kind, *_ in new) and r.n_found == len(new)
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    """ref: is never followed by what a fixed pattern finds; only what follows "Reach me:" shows what it is."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        text = [rng.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(15)]
+        k = i % 40
+        if i % 3 == 0:
+            text += ["Reach", "me:", f"user{i}@mail.example.com"]
+        elif i % 3 == 1:
+            text += ["Reach", "me:", f"user{k}@intranet"]
+        else:
+            text += ["Owner", "ref:", f"user{k + (60 if i % 5 == 0 else 0)}@intranet"]
+        rows.append((i, " ".join([*text, "end"])))
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+
+    def found(s):
+        return {r.doc_id for r in m.find(df, s).collect() if r.n_found}
+
+    after = {w: {i for i, t in texts.items() if f"{w} user" in t and "@intranet" in t} for w in ("me:", "ref:")}
+    assert found(m.Settings(generations=1)) == after["me:"]
+    assert found(m.Settings(generations=2)) == after["me:"] | after["ref:"]
+
+
+def test_blocks_of_patterns_find_what_one_does(corpus, monkeypatch):
+    df, _ = corpus
+    patterns = m.cut(m.trusted(df))
+    whole = sorted(map(tuple, m.extract(df, patterns).collect()))
+    monkeypatch.setattr(m, "BLOCK", 1)
+    assert patterns.count() > 1 and sorted(map(tuple, m.extract(df, patterns).collect())) == whole
+
+
+def test_the_sieve_lets_all_patterns_through(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    known = rng.integers(-(2**63), 2**63, 5000)
+    for bits in (1 << 27, 1 << 16):
+        monkeypatch.setattr(m, "BITS", bits)
+        table = m.sieve(spark.createDataFrame([(int(x),) for x in known], "pattern long"), 5000)
+        assert m.passes(table, known).all() and m.passes(table, rng.integers(-(2**63), 2**63, 5000)).mean() < 0.1
+        assert table.nbytes * 8 <= bits
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", "x", 2, 3)], "doc_id long, text string, pattern string, kind int, more int")
+    assert m.find(df).first().base == "email:5:11"
+
+
 def test_trust(corpus):
     df, _ = corpus
     rows = m.trusted(df).collect()
