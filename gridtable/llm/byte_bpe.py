@@ -196,9 +196,11 @@ def decoded(ids: bytes, tokens: dict[int, bytes]) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids and the columns ``keep``): ids is binary, little-endian unsigned 32 bits an id.
 
-    Null and empty texts have no ids. Rows are encoded one by one; columns that are not named are not read.
+    Null and empty texts have no ids; a text of any length is encoded whole. Rows are encoded one by one, repeated ones
+    too, and an empty table gives none. Columns that are not named are not read; one of ``keep`` with the name of a
+    column of the result gives way to it.
     """
-    columns = ["doc_id", *keep]
+    columns = list(dict.fromkeys(["doc_id", *(c for c in keep if c.lower() not in ("doc_id", "text", "n_tokens", "ids"))]))
     docs = docs.select("text", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with a column ``decoded``: the bytes that its ids stand for."""
+    """``encoded`` with a column ``decoded``: the bytes that its ids stand for.
+
+    Null ids are none and stand for no bytes; an empty table stays empty; other columns stay as they are, but for one
+    that is named ``decoded`` already, which gives way. An id that the vocabulary does not have is an error.
+    """
+    encoded = encoded.select([f"`{c}`" for c in encoded.columns if c.lower() != "decoded"])
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

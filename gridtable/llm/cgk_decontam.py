@@ -29,8 +29,10 @@ LEAST, LONGEST = SHAPES[0][0], SHAPES[-1][1]
 #: Items of more words have at least the recall of those of so many, for they have more windows; edited copies that
 #: recall is measured on, for each kind of edit; repetitions at which that ends.
 MANY, COPIES, MOST = 48, 100, 48
-#: Items that are searched for in one pass, which bounds what is broadcast.
+#: Items that are searched for in one pass; it and the next bound what is broadcast.
 BLOCK = 20_000
+#: Characters of the items of a block, beyond which it ends too.
+CHARACTERS = 50_000_000
 ANY = "doc_id long, item_id long, edits long, item_words long, start long, end long"
 
 
@@ -284,13 +286,14 @@ def find(index: Index, words: np.ndarray, row: np.ndarray, rows: int) -> list[tu
 def indexes(items: DataFrame, s: Settings) -> Iterator[Index]:
     """Indexes of blocks of the items (item_id, text); those without a word match nothing."""
     known = items.selectExpr("cast(item_id AS long) AS item_id", "text").where("text IS NOT NULL")
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for r in known.orderBy("item_id", "text").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == BLOCK:
+        size += len(r["text"])
+        if len(ids) == BLOCK or size >= CHARACTERS:
             yield Index(ids, texts, s)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids:
         yield Index(ids, texts, s)
 
@@ -334,7 +337,11 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` without the rows that hold an item; the columns stay."""
+    """``docs`` without the rows that hold an item; the columns stay, whatever their names.
+
+    Null and empty texts stay, null and empty items match nothing, repeated rows stay or go together, and an empty table
+    of either kind leaves ``docs`` as it is. Long texts are read whole.
+    """
     for index in indexes(items, s):
         shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
 

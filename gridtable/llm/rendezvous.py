@@ -42,17 +42,19 @@ def place(rows: DataFrame, key: str, weights: Sequence[float], grown_by: float =
     ``slot`` counts the rows of a shard from 0 without gaps. Each shard is numbered in PARTS parts by a
     hash of the key, the columns ``order`` and the input partition, so that a shard or a repeated row
     of any size is many tasks; the counts of the parts, of which there are shards x PARTS at most,
-    give each part's first slot. Rows are all kept; an empty table gives an empty result.
+    give each part's first slot. Rows are all kept, those with a null key as one key; an empty table gives an empty
+    result. Columns stay, whatever they hold, but one with the name of a column that is made here gives way to it.
     """
-    for name in ("shard", "slot", "grown_shard"):
-        if name in rows.columns:
-            raise ValueError(f"a column is named {name}")
-    one = rows.withColumns({"shard": shard(F.col(key), weights), "grown_shard": shard(F.col(key), [*weights, grown_by]), "_from": F.spark_partition_id()})
-    one = cut(one.withColumn("_part", F.pmod(F.xxhash64(key, *order, "_from"), F.lit(PARTS)).cast("int")))
-    counts = one.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = cut(counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    within = Window.partitionBy("shard", "_part").orderBy(key, *order)
-    numbered = one.withColumn("_at", F.row_number().over(within) - 1)
-    placed = numbered.join(bounded(firsts), ["shard", "_part"])
-    return placed.select(*rows.columns, "shard", (F.col("_first") + F.col("_at")).alias("slot"), "grown_shard")
+    made = ("shard", "slot", "grown_shard")
+    kept = [c for c in rows.columns if c.lower() not in made]
+    by = [f"order{i}" for i in range(len(order))]
+    one = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").alias(b) for c, b in zip(order, by, strict=True)])
+    one = one.withColumns({"shard": shard(F.col("key"), weights), "grown_shard": shard(F.col("key"), [*weights, grown_by]), "source": F.spark_partition_id()})
+    one = cut(one.withColumn("part", F.pmod(F.xxhash64("key", *by, "source"), F.lit(PARTS)).cast("int")))
+    counts = one.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = cut(counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    within = Window.partitionBy("shard", "part").orderBy("key", *by)
+    numbered = one.withColumn("at", F.row_number().over(within) - 1)
+    placed = numbered.join(bounded(firsts), ["shard", "part"])
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "shard", (F.col("first") + F.col("at")).alias("slot"), "grown_shard")

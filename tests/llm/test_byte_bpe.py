@@ -75,3 +75,9 @@ def test_frames(spark, docs, empty, documents, library):
     want = sorted((i, hashlib.sha256(np.array(library.encode_ordinary(t or ""), "<u4").tobytes()).hexdigest(), (t or "").encode()) for i, t, *_ in documents)
     assert sorted((r.doc_id, hashlib.sha256(r.ids).hexdigest(), bytes(r.decoded)) for r in rows) == want
     assert byte_bpe.encode(empty, MULTILINGUAL, PATTERN).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a text", b"x", 5, "y")], "doc_id long, text string, ids binary, n_tokens int, decoded string")
+    row = byte_bpe.decode(byte_bpe.encode(df, MULTILINGUAL, PATTERN, keep=("ids", "n_tokens", "decoded")), MULTILINGUAL).first()
+    assert bytes(row.decoded) == b"a text" and row.n_tokens == len(row.ids) // 4

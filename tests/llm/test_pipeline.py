@@ -81,3 +81,55 @@ def test_encoding(stages):
 def test_run_is_the_stages(spark, stages):
     got = {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert got == {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in stages[5].collect()}
+
+
+def test_toxicity_stage_is_the_operator(spark, stages):
+    """The stage keeps what op1's scores leave, learned from the same labels."""
+    from gridtable.llm import toxicity_crf
+
+    model = toxicity_crf.train(stages[0], spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in toxicity_crf.score(stages[0], model).collect()}
+    assert set(texts(stages[1])) == {i for i, x in scores.items() if x < 0.3}
+    assert 0 < len(texts(stages[1])) < len(scores)
+
+
+def test_secrets_stage_as_brute_force(stages):
+    """Each masked text is the old one with what the patterns and windows find replaced, and no base secret is left."""
+    import pyarrow as pa
+
+    from gridtable.llm import entropy_secrets
+
+    before, after = texts(stages[3]), texts(stages[4])
+    assert set(before) == set(after) and before != after
+    for i, t in before.items():
+        (spans,) = entropy_secrets.find(pa.array([t], pa.string()))
+        covered = {k for a, _, b in spans for k in range(a, b)}
+        kept = "".join(c for k, c in enumerate(t or "") if k not in covered)
+        assert (after[i] or "").replace("[SECRET]", "") == kept.replace("[SECRET]", "")
+
+
+def odd_folder(spark, path, docs):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_odd_tables_go_through(spark, tmp_path):
+    """Nulls in every column, empty texts, a long one, repeated rows, columns with clashing names."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    docs = [(i, f"some words of number {i} " * 3, "en", "s", 5, 0.5, 7) for i in range(20)]
+    docs += [(None, None, None, None, None, None, None), (40, None, "en", "s", 0, 0.1, 1), (41, "", "en", "s", 0, 0.1, 1), (42, long, "de", None, None, None, None), (5, docs[5][1], "en", "s", 5, 0.5, 7)]
+    odd_folder(spark, f"file://{tmp_path}/odd", docs)
+    kept = spark.read.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        f(spark, kept, f"file://{tmp_path}/odd").write.parquet(f"file://{tmp_path}/{name}")
+        kept = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "rep"]
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    assert len(rows) == kept.count() and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_empty_tables_go_through(spark, tmp_path):
+    odd_folder(spark, f"file://{tmp_path}/none", [])
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").collect() == []

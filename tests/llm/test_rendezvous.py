@@ -43,3 +43,14 @@ def test_hot_key_and_empty(spark):
 def test_native(spark):
     plan = m.place(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", [1.0] * 3)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    """What is made here takes the place of columns of its name; others stay."""
+    rows = [(i, i % 3, "a", 5, 6, 7, 8) for i in range(50)] + [(None, None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "shard long, slot long, key string, part int, row int, n int, first int")
+    got = m.place(df, "shard", [1.0] * 3, order=("key", "slot")).collect()
+    assert len(got) == 52 and set(got[0].asDict()) == {"shard", "slot", "grown_shard", "key", "part", "row", "n", "first"}
+    assert sum(r.part == 5 and r.key == "a" for r in got) == 50
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
