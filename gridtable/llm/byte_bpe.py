@@ -22,9 +22,11 @@ from gridtable.llm.common import arrow, binary, slices, utf8
 from gridtable.llm.pieces import Pieces
 
 #: Pieces and pairs of tokens that a worker keeps; of the pieces half are forgotten when there are more, of the pairs all.
-PIECES, PAIRS = 400_000, 300_000
+PIECES, PAIRS = 300_000, 250_000
+#: More than any id.
+PAIR = 1 << 32
 #: Bytes of text that are encoded together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class Vocabulary:
@@ -43,7 +45,7 @@ class Vocabulary:
                 if len(parts) == 2:
                     self.halves[i] = (parts[0], parts[1])
                     self.whole[parts[0], parts[1]] = i
-        self.sound: dict[tuple[int, int], bool] = {}
+        self.sound: dict[int, bool] = {}  # by PAIR * left + right
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -61,11 +63,11 @@ class Vocabulary:
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens."""
-        known = self.sound.get((left, right))
+        known = self.sound.get(PAIR * left + right)
         if known is None:
             if len(self.sound) >= PAIRS:
                 self.sound.clear()
-            known = self.sound[left, right] = self._undo(left, right)
+            known = self.sound[PAIR * left + right] = self._undo(left, right)
         return known
 
     def _undo(self, left: int, right: int) -> bool:
@@ -103,7 +105,7 @@ class Prefixes:
                 if not j:
                     break
                 left = last[j]
-                known = sound((left, token))
+                known = sound(PAIR * left + token)
                 if known or (known is None and adjacent(left, token)):
                     break
             else:

@@ -25,7 +25,7 @@ from gridtable.llm.pieces import BYTE_LEVEL, Pieces, spread
 #: Ids after which a block is closed, between two slices of texts.
 BLOCK = 1 << 19
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Ones between two samples of the select structure.
 SAMPLE = 64
 #: Pieces that a worker keeps the ids of.
