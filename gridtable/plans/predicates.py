@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from gridtable.errors import InvalidQueryError
 from gridtable.functions import coords
-from gridtable.spec import INTEGERS, TableSpec
+from gridtable.spec import INTEGERS, ROW_ID, TableSpec
 
 
 class FilterOp(Enum):
@@ -231,7 +231,7 @@ def fits(value: object, kind: T.DataType) -> bool:
 
 
 def derive(p: Predicate | None, spec: TableSpec) -> Column | None:
-    """What the predicate implies about the partition columns; None where it implies nothing.
+    """What the predicate implies about the partition columns and the row id; None where it implies nothing.
 
     It is implied, never equivalent: the predicate itself is always applied too. AND keeps what either
     side implies, OR needs both. Bounds are on buckets, inclusive, so nothing overflows at the ends.
@@ -263,6 +263,7 @@ def derive(p: Predicate | None, spec: TableSpec) -> Column | None:
         if spec.row_id.kind == "single" and spec.row_id.columns[0] == p.column and not spec.hashed_ids and fits(p.value, kind):
             key = number - coords.UNSIGNED if coords.unsigned(kind) else number
             found.append(on_bucket(F.col("__rb"), F.lit(key // spec.chunk_rows).cast("long")))
+            found.append(COMPARE[p.op](F.col(ROW_ID), F.lit(key).cast("long")))  # every column group has it
     if spec.hashed_ids and spec.row_id.columns == (p.column,) and p.op is FilterOp.Eq and fits(p.value, kind):
         row = F.xxhash64(F.lit(p.value).cast(kind))
         found.append(F.col("__rb") == F.pmod(row, F.lit(spec.hashed_row_buckets).cast("long")))

@@ -25,12 +25,12 @@ class Source:
         self.db, self.spec, self.state = db, spec, state
 
     def rows(self, columns: list[str], where: Predicate | None, cached: bool = False) -> DataFrame:
-        """(row id, columns) of the rows that ``where`` keeps."""
+        """(row id, columns, and others) of the rows that ``where`` keeps."""
         if cached:
             from gridtable.plans.predicates import condition
 
-            whole = self.db.cache.get_or_put(self.spec.name, self.state.txn, lambda: reader.read(self.db.spark, self.spec, self.state, self.spec.names))
-            return (whole if where is None else whole.where(condition(where, self.spec))).select(ROW_ID, *columns)
+            whole = self.db.cache.get_or_put(self.spec.name, self.state.txn, lambda: reader.read(self.db.spark, self.spec, self.state, self.spec.names).select(ROW_ID, *self.spec.names))
+            return whole if where is None else whole.where(condition(where, self.spec))
         return reader.read(self.db.spark, self.spec, self.state, columns, where)
 
 

@@ -40,26 +40,25 @@ def scan(spark: SparkSession, spec: TableSpec, path: str, columns: list[str]) ->
 
 
 def base_rows(spark: SparkSession, spec: TableSpec, state: State, columns: list[str], implied: Column | None) -> DataFrame:
-    """(row id, txn, columns, coordinates) of the segments, before changes; ``implied`` prunes their partitions.
+    """(row id, txn, columns, coordinates, and others) of the segments, before changes; ``implied`` prunes their partitions.
 
-    Only the column groups that hold ``columns`` are read, each with only those columns.
+    Only the column groups that hold ``columns`` are read, each with only what the caller selects of it: a frame is not
+    narrowed here, since each column that is named costs a call to the JVM.
     """
     groups = ColumnGroups(spec)
     needed = groups.required(columns)
-    keys = [ROW_ID, TXN, *spec.coordinates]
     segments = []
     for s in state.segments:
         parts = []
         for g in needed:
-            own = [c for c in columns if groups.group(c) == g]
-            part = scan(spark, spec, s.groups[g], groups.columns(g)).select(*keys, *own)
+            part = scan(spark, spec, s.groups[g], groups.columns(g))
             if s.without:
                 part = part.where(~F.col("__rb").isin(list(s.without)))
             parts.append(part if implied is None else part.where(implied))
         # The other coordinates follow from the row, and can be null.
-        segments.append(vertical_join(parts, [ROW_ID, TXN, "__rb"]).select(*keys, *columns))
+        segments.append(parts[0] if len(parts) == 1 else vertical_join(parts, [ROW_ID, TXN, "__rb"]))
     if not segments:
-        return spark.createDataFrame([], T.StructType([f for f in stored_schema(spec, columns).fields])).select(*keys, *columns)
+        return spark.createDataFrame([], stored_schema(spec, columns))
     return reduce(DataFrame.unionByName, segments)
 
 
@@ -72,17 +71,16 @@ def change_rows(spark: SparkSession, spec: TableSpec, state: State, columns: lis
 
 
 def read(spark: SparkSession, spec: TableSpec, state: State, columns: list[str], where: Predicate | None = None) -> DataFrame:
-    """(row id, columns) of the rows of ``state`` that ``where`` keeps.
+    """(row id, columns, and others) of the rows of ``state`` that ``where`` keeps.
 
     Changed rows are outside the partitions, so only the base is pruned by what the predicate implies;
     the predicate itself is applied to all, and Spark pushes it into the base scan.
     """
     wanted = list(dict.fromkeys([*columns, *(c for c in spec.names if c in columns_of(where))]))
-    base = base_rows(spark, spec, state, wanted, derive(where, spec)).select(ROW_ID, TXN, *wanted)
-    whole = apply_changes(base, change_rows(spark, spec, state, wanted), sum(c.entries for c in state.changes))
-    if where is not None:
-        whole = whole.where(condition(where, spec))
-    return whole.select(ROW_ID, *columns)
+    whole = base_rows(spark, spec, state, wanted, derive(where, spec))
+    if state.changes:
+        whole = apply_changes(whole.select(ROW_ID, TXN, *wanted), change_rows(spark, spec, state, wanted), sum(c.entries for c in state.changes))
+    return whole if where is None else whole.where(condition(where, spec))
 
 
 def segment_places(spark: SparkSession, spec: TableSpec, segment: Segment) -> DataFrame:

@@ -97,7 +97,7 @@ class Writer:
         df = fitted(df, spec, True, ignore_extra)
         keyed = spec.row_id.kind != "snowflake" or ROW_ID in df.columns
         if keyed:
-            if ROW_ID not in df.columns:
+            if spec.row_id.kind != "snowflake":  # the key alone says where a row lies
                 df = df.withColumn(ROW_ID, coords.row_id(spec))
             rows = df.withColumn(SEQ, F.monotonically_increasing_id()).withColumn("__rb", coords.row_bucket(F.col(ROW_ID), spec))
             rows = latest(rows.repartition("__rb"), ["__rb", ROW_ID], [*(order_by or []), SEQ]).drop(SEQ, "__rb")
