@@ -5,7 +5,8 @@ band keys of its minima, and the low bits of the minima packed into a few longs.
 sets form a class that one row stands for; only classes go on. Classes that share a band key are
 candidates: in a few turns each is held against one class of its bucket, another in each turn. What is
 still in buckets of several components then goes through a prefix filter: two similar sets share one
-of their rarest shingles, so that texts which have only common passages in common never meet. A pair is
+of their rarest shingles, so that texts which have only common passages in common never meet. The buckets
+of these shingles have turns of their own, and then longer signatures decide what is compared. A pair is
 first estimated from the packed bits (matches corrected for chance collisions) and then confirmed on
 full sets, which are written once. Nothing is capped.
 """
@@ -36,7 +37,7 @@ class Settings:
     """shingle words a shingle; percent: the least Jaccard similarity; rows: minima a band; miss: the
     chance that a pair at the threshold shares no band; sigmas: how far below the threshold an
     estimate may fall before a pair is given up; turns: members of a bucket that all others are held
-    against."""
+    against; fine: minima of the longer signatures of what that leaves."""
 
     shingle: int = 5
     percent: int = 80
@@ -44,6 +45,7 @@ class Settings:
     miss: float = 1e-8
     sigmas: float = 5.5
     turns: int = 3
+    fine: int = 1024
 
     @property
     def bands(self) -> int:
@@ -199,14 +201,15 @@ def whole_sets(docs: DataFrame, heads: DataFrame, wanted: DataFrame, s: Settings
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of those of the ``pairs`` (hub, doc: heads; a, b: their doc_ids) whose full sets are similar enough.
+    """Those of the ``pairs`` (hub, doc: heads, and others) whose full sets are similar enough, without hub and doc.
 
     The hub's set is joined last and not shuffled again, so that it moves once, however many it is held against.
     """
+    kept = [c for c in pairs.columns if c not in ("hub", "doc")]
     joined = pairs.join(sets.toDF("doc", "y"), "doc").join(sets.toDF("hub", "x"), "hub")
     both = F.size(F.array_intersect("x", "y"))
-    joined = joined.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
-    return cut(joined.where(F.col("both") * 100 >= F.col("either") * s.percent).select("a", "b"))
+    joined = joined.select(*kept, both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
+    return cut(joined.where(F.col("both") * 100 >= F.col("either") * s.percent).select(kept))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -253,32 +256,79 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, sketch: DataFrame, s: Settings) -> DataFrame:
-    """(hub, doc, a, b) of the pairs (hub, doc) that sizes and packed bits let be similar enough."""
+    """Those of the ``pairs`` (hub, doc: heads, and others) that sizes and packed bits let be similar enough, with their
+    doc_ids a and b."""
     one, two = sketch.toDF("hub", "a", "na", "xa"), sketch.toDF("doc", "b", "nb", "xb")
     fits = similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
-    return pairs.join(two, "doc").join(one, "hub").where(fits).select("hub", "doc", "a", "b")
+    return pairs.join(two, "doc").join(one, "hub").where(fits).select(*pairs.columns, "a", "b")
 
 
-def unexplained(spots: DataFrame, sketch: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between components (c) among the heads (h) of buckets that are still mixed.
+def fine_signer(s: Settings):
+    """For mapInArrow: (h, items) to (h, bits), with ``fine`` minima of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                items = part.column(1)
+                sets = np.asarray(items.flatten(), np.int64).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(packed(mixed_minima(sets, np.diff(np.asarray(items.offsets)), s.fine)))], names=["h", "bits"])
+
+    return run
+
+
+def prefixes(own: DataFrame, s: Settings) -> DataFrame:
+    """(h, c, n, item, at) of the first shingles of the sets ``own`` (h, c, items), at: how many come before.
 
     A set similar to one of n shingles has at least n * percent / 100 of them, so that two similar sets share one of
     their n - ceil(n * percent / 100) + 1 first shingles in any order that is the same for all. Here the rarest come
     first: what only passages of many texts have in common is then no candidate.
     """
-    own = cut(spots.select("h", "c").distinct().join(sets, "h").select("h", "c", F.size("items").alias("n"), F.explode("items").alias("item")))
-    often = own.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
-    shared = own.join(often, "item").groupBy("h", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("known"))
+    each = own.select("h", "c", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    shared = each.join(often, "item").groupBy("h", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("known"))
     alone = F.col("n") - F.size("known")  # shingles that no other text has, which come before
-    prefix = F.col("n") - F.ceil(F.col("n") * s.percent / F.lit(100)).cast("int") + 1 - alone
-    first = shared.where(prefix > 0).select("h", "c", F.explode(F.slice("known", F.lit(1), prefix)).alias("x"))
-    first = cut(first.select("h", "c", F.col("x.item").alias("item")))
-    mixed = first.groupBy("item").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    first = first.join(mixed.select("item"), "item").join(sketch, "h")
-    one = first.select("item", F.col("h").alias("hub"), F.col("c").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = first.select("item", F.col("h").alias("doc"), F.col("c").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    near = (F.col("ca") != F.col("cb")) & (F.col("hub") < F.col("doc")) & similar_sizes(s, "na", "nb") & similar_bits(s, "xa", "xb", s.minima)
-    return confirmed(cut(one.join(two, "item").where(near).select("hub", "doc", "a", "b").distinct()), sets, s)
+    length = F.col("n") - least_overlap(s, F.col("n"), F.lit(100)) + 1 - alone
+    first = shared.withColumns({"alone": alone, "length": length}).where("length > 0")
+    first = first.select("h", "c", "n", "alone", F.posexplode(F.slice("known", F.lit(1), F.col("length"))).alias("nth", "x"))
+    return first.select("h", "c", "n", F.col("x.item").alias("item"), (F.col("alone") + F.col("nth")).alias("at"))
+
+
+def least_overlap(s: Settings, size: Column, of: Column) -> Column:
+    """``size`` * percent / ``of``, rounded up, in whole numbers."""
+    return F.call_function("div", size.cast("long") * s.percent + of - 1, of.cast("long")).cast("int")
+
+
+def unexplained(spots: DataFrame, sketch: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between components (c) among the heads (h) of buckets that are still mixed."""
+    own = cut(spots.select("h", "c").distinct().join(sets, "h"))
+    first = cut(prefixes(own, s))
+    links = None
+    for turn in range(s.turns + 1):
+        mixed = first.groupBy("item").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        first = cut(first.join(mixed.select("item"), "item"))
+        if turn == s.turns or first.isEmpty():
+            break
+        hubs = first.groupBy("item").agg(F.min(F.struct(F.xxhash64("h", F.lit(100 + turn)).alias("rank"), "h", "c")).alias("hub"))
+        stars = first.join(hubs, "item").where("c <> hub.c")
+        stars = stars.select(F.col("hub.h").alias("hub"), F.col("h").alias("doc"), F.col("hub.c").alias("ca"), F.col("c").alias("cb")).distinct()
+        more = confirmed(cut(estimated(stars, sketch, s)), sets, s)
+        links = more.select("a", "b") if links is None else links.union(more.select("a", "b"))
+        found = cut(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        first = first.join(found.toDF("c", "now"), "c", "left").withColumn("c", F.coalesce("now", "c")).drop("now")
+    if first.isEmpty():
+        return links if links is not None else sketch.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    fine = cut(arrow(own.join(first.select("h").distinct(), "h", "left_semi").select("h", "items"), fine_signer(s), "h long, bits array<long>"))
+    names = sketch.select("h", "doc_id")
+    rows = first.join(fine, "h").join(names, "h")
+    one, two = (rows.select("item", *[F.col(c).alias(c + side) for c in ("h", "c", "n", "at", "bits", "doc_id")]) for side in "12")
+    # Of what two sets have in common nothing comes before the first; so much must come with it and after it.
+    needed = least_overlap(s, F.col("n1") + F.col("n2"), F.lit(100 + s.percent))
+    fits = (F.col("n1") - F.col("at1") >= needed) & (F.col("n2") - F.col("at2") >= needed) & similar_sizes(s, "n1", "n2")
+    near = (F.col("c1") != F.col("c2")) & (F.col("h1") < F.col("h2")) & fits & similar_bits(s, "bits1", "bits2", s.fine)
+    pairs = one.join(two, "item").where(near).select(F.col("h1").alias("hub"), F.col("h2").alias("doc"), F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
+    more = confirmed(cut(pairs.distinct()), sets, s)
+    return more if links is None else links.union(more)
 
 
 def drop_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

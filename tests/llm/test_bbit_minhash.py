@@ -80,7 +80,7 @@ def test_clashing_columns(spark):
     assert [(r.doc_id, r.rep) for r in m.drop_duplicates(df).collect()] == [(1, 1)]
 
 
-@pytest.mark.parametrize("minima", [160, 2048])
+@pytest.mark.parametrize("minima", [160, 1024])
 def test_estimate_is_safe(minima):
     s = m.Settings(shingle=3, percent=85)
     assert s.most_mismatches(minima) / minima > 0.15 * 0.75
