@@ -188,25 +188,41 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, places): how often a word follows each of the ``patterns`` (pattern), whatever it is."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve(patterns, patterns.count()))
+    """(pattern, places): how often a word follows each of the ``patterns`` (pattern), whatever it is.
+
+    What passes the sieve is looked up among the patterns, a BLOCK of them in one pass over the texts, so that a task
+    gives one row for each pattern that it has met, and none for other words.
+    """
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(sieve(patterns, patterns.count()))
+    places = patterns.selectExpr("pattern", "0L AS places").where("false")
+    for (block,) in blocks(patterns, "pattern"):
+        known = spark.sparkContext.broadcast(block)
+        counted = arrow(docs.select("text"), counter(table, known), "pattern long, n long").groupBy("pattern")
+        places = places.union(cut(counted.agg(F.sum("n").alias("places"))))
+        known.destroy()
+    table.destroy()
+    return places
+
+
+def counter(table, known):
+    """For mapInArrow: how often a word follows each pattern of a broadcast block, once for all texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        patterns = known.value
+        counts = np.zeros(len(patterns), np.int64)
         for batch in batches:
-            edges: Counter[int] = Counter()
             for part in slices(batch, "text"):
                 text = Text(part.column(0), 0)
                 follows = np.append(text.same[1:], False)
                 for found, there in ((text.word, follows), (text.two, follows & text.same)):
-                    values, counts = np.unique(found[there & passes(table, found)], return_counts=True)
-                    for v, n in zip(values.tolist(), counts.tolist(), strict=True):
-                        edges[v] += n
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(edges.keys(), pa.int64()), pa.array(edges.values(), pa.int64())], names=["pattern", "n"])
+                    found = found[there & passes(table.value, found)]
+                    pos = np.minimum(np.searchsorted(patterns, found), len(patterns) - 1)
+                    counts += np.bincount(pos[patterns[pos] == found], minlength=len(patterns))
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(patterns[met]), pa.array(counts[met])], names=["pattern", "n"])
 
-    counted = arrow(docs.select("text"), run, "pattern long, n long").join(patterns, "pattern", "left_semi")
-    return counted.groupBy("pattern").agg(F.sum("n").alias("places"))
+    return run
 
 
 def trusted(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -227,7 +243,7 @@ def trusted(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     for generation in range(s.generations):
         if fresh.isEmpty():
             break
-        counted = cut(occurrences(docs, fresh))
+        counted = occurrences(docs, fresh)
         places = counted if places is None else cut(places.union(counted))
         base = kinds.join(places, "pattern").join(of_seeds, ["pattern", "kind"], "left").withColumn("seeded", F.coalesce("seeded", F.lit(0)))
         base = cut(base.withColumn("trust", F.least(F.lit(1.0), F.col("seeded") / F.greatest("places", "seeded"))))
@@ -283,14 +299,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 ROW = "doc_id long, text string, more array<struct<kind: int, start: long, end: long>>"
 
 
-def blocks(patterns: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The patterns and their kinds, sorted, in as many parts as there are BLOCKs of them; each part is of bounded size."""
+def blocks(patterns: DataFrame, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """These columns of the patterns, sorted by pattern, in as many parts as there are BLOCKs of them; each part is of bounded size."""
     n = patterns.count()
     parts = -(-n // BLOCK)
     for k in range(parts):
         some = patterns if parts == 1 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k)
-        rows = some.select("pattern", "kind").orderBy("pattern").toArrow()
-        yield rows["pattern"].to_numpy(), rows["kind"].to_numpy()
+        rows = some.select(*columns).orderBy("pattern").toArrow()
+        if rows.num_rows:
+            yield tuple(rows[c].to_numpy() for c in columns)
 
 
 def extract(docs: DataFrame, patterns: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -305,7 +322,7 @@ def extract(docs: DataFrame, patterns: DataFrame, s: Settings = Settings()) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     last = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int32)))
-    for k, block in enumerate(blocks(patterns)):
+    for k, block in enumerate(blocks(patterns, "pattern", "kind")):
         if k:
             rows = cut(arrow(rows, collector(last, s), ROW))
         last.destroy()

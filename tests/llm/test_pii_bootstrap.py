@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -113,6 +114,33 @@ def test_the_sieve_lets_all_patterns_through(spark, monkeypatch):
         assert table.nbytes * 8 <= bits
 
 
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_places_are_counted_for_patterns_alone(spark, monkeypatch, block):
+    """Words that pass the sieve and are no patterns make no rows, and a pattern one row a task."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.choice(['the', 'of', 'as'])} w{rng.randrange(100_000)}" for _ in range(250)) for _ in range(400)]
+    words = [t.split(" ") for t in texts]
+    after = Counter(x for w in words for x in w[:-1]) + Counter(" ".join(x) for w in words for x in zip(w, w[1:-1], strict=False))
+    known = ["the", "of", "as", *rng.sample(sorted(x for x in after if " " not in x), 100), *rng.sample(sorted(x for x in after if " " in x), 100), "neverseen"]
+    hashes = {m.contexts(x.split(" "))[-1]: x for x in known}
+    patterns = spark.createDataFrame([(h,) for h in hashes], "pattern long")
+    raw = []
+    seen = m.arrow
+    monkeypatch.setattr(m, "arrow", lambda *args: raw.append(m.cut(seen(*args))) or raw[-1])
+    monkeypatch.setattr(m, "BLOCK", block)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "20")
+    try:
+        docs = spark.createDataFrame(list(enumerate([*texts, None, "", "the"])), "doc_id long, text string").repartition(2)
+        got = {hashes[r.pattern]: r.places for r in m.occurrences(docs, patterns).collect()}
+        assert got == {x: after[x] for x in hashes.values() if after[x]}
+        rows = [r.pattern for x in raw for r in x.collect()]
+    finally:
+        spark.conf.unset(limit)
+    assert set(rows) <= set(hashes) and max(Counter(rows).values()) <= 2
+    assert m.occurrences(docs, patterns.where("false")).count() == 0
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "mail a@b.co", "x", 2, 3)], "doc_id long, text string, pattern string, kind int, more int")
     assert m.find(df).first().base == "email:5:11"
