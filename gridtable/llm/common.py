@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: a lost executor costs no recomputation."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    trim(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +77,29 @@ def give_back() -> None:
         trim(0)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Return the memory that the driver's JVM has freed outside its heap, by many threads in many arenas, to the system;
+    false on a JVM that can't. The method is the interface's: the class that implements it is not exported."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+
+    def array(kind: object, *items: object) -> object:
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:
+        of = jvm.java.lang.Class.forName
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *map(of, kinds)))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(server, array(jvm.Object, name, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String)))
+    except Py4JError:
+        return False
+    return True
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``most`` bytes of text, or one longer row."""
     if not batch.num_rows:

@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtable.llm.common import ALNUM, arrow, code_points, fold, lower_ascii, mix, rolling, run_hashes, slices, utf8, word_spans
+from gridtable.llm.common import ALNUM, arrow, code_points, fold, give_back, lower_ascii, mix, rolling, run_hashes, slices, trim, utf8, word_spans
 
 #: Prefix lengths in bytes that are features; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6, 7, 8)
 SLOTS = 1 << 18
 #: Words of a span. The spans of a chain are worked on side by side, as are those of other chains.
 SPAN = 64
+#: Words of the rows that are learned from at a time: besides features and labels, only so many have figures in memory.
+BLOCK = 1 << 17
 #: Marginals below this are not added up: long texts have many words that are a little unlikely to be toxic.
 DOUBT = 0.1
 LOWER = lower_ascii()
@@ -74,10 +76,25 @@ def read_words(column: pa.Array) -> Words:
 
 def read_sample(texts: pa.Array) -> Words:
     """The words of many rows without their bytes, read a few rows at a time to keep the driver's memory small."""
-    parts = [read_words(texts.slice(a, 128)) for a in range(0, len(texts), 128)]
     none = np.zeros(0, np.int64)
-    row = [w.row + 128 * i for i, w in enumerate(parts)]
-    return Words(none, none, none, none, np.concatenate([none, *row]), np.concatenate([np.zeros((0, len(PREFIXES)), np.int32), *(w.features for w in parts)]), np.concatenate([none, *(w.count for w in parts)]))
+    counts, features = [none], np.zeros((0, len(PREFIXES)), np.int32)
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        words, at = read_words(part.column(0)), len(features)
+        features.resize((at + len(words.features), len(PREFIXES)), refcheck=False)  # in place: never held twice
+        features[at:] = words.features
+        counts.append(words.count)
+    count = np.concatenate(counts)
+    return Words(none, none, none, none, np.repeat(np.arange(len(count), dtype=np.int32), count), features, count)
+
+
+def blocks(count: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """The rows and the words of runs of whole rows, with at most BLOCK words or one longer row."""
+    ends, first = np.cumsum(count), 0
+    while first < len(count):
+        before = int(ends[first] - count[first])
+        last = max(int(np.searchsorted(ends, before + BLOCK, side="right")), first + 1)
+        yield slice(first, last), slice(before, int(ends[last - 1]))
+        first = last
 
 
 def potentials(features: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -209,6 +226,13 @@ def document_features(p: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def score_features(words: Words, model: Model, rows: slice, own: slice) -> np.ndarray:
+    """``document_features`` of some rows."""
+    none = words.data[:0]
+    some = Words(none, none, none, none, words.row[own], words.features[own], words.count[rows])
+    return document_features(marginals(some, model), some.count)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton's method for a ridge logistic regression."""
     w = np.zeros(x.shape[1])
@@ -227,12 +251,14 @@ def word_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
     marked = np.zeros(len(words.row), bool)
     n1, n0 = toxic.sum(), (~toxic).sum()
     for i in range(len(PREFIXES)):
-        seen = np.unique(words.row.astype(np.int64) * SLOTS + words.features[:, i])
-        bad = toxic[seen // SLOTS]
-        in1 = np.bincount(seen[bad] % SLOTS, minlength=SLOTS)
-        in0 = np.bincount(seen[~bad] % SLOTS, minlength=SLOTS)
-        odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-        marked |= ((odds > 2.5) & (in1 >= 5))[words.features[:, i]]
+        seen = np.zeros((2, SLOTS), np.int64)
+        for _, own in blocks(words.count):
+            pairs = np.unique(words.row[own].astype(np.int64) * SLOTS + words.features[own, i])
+            bad = toxic[pairs // SLOTS]
+            seen[1] += np.bincount(pairs[bad] % SLOTS, minlength=SLOTS)
+            seen[0] += np.bincount(pairs[~bad] % SLOTS, minlength=SLOTS)
+        odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+        marked |= ((odds > 2.5) & (seen[1] >= 5))[words.features[:, i]]
     return marked & toxic[words.row]
 
 
@@ -240,26 +266,30 @@ def fit_field(words: Words, labels: np.ndarray, rounds: int = 30) -> Model:
     """Adaptive gradient ascent on the conditional likelihood; its gradient comes from forward-backward."""
     inner = np.ones(len(labels), bool)
     inner[(np.cumsum(words.count) - words.count)[words.count > 0]] = False
-    later = np.flatnonzero(inner)
     weights, bias, moves = np.zeros(SLOTS, np.float32), -3.0, np.zeros((2, 2))
     squares, square_bias, square_moves = np.full(SLOTS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
-    seen = np.array([[np.sum((labels[later - 1] == i) & (labels[later] == j)) for j in (0, 1)] for i in (0, 1)], float)
+    pairs = 2 * labels[:-1].astype(np.int8) + labels[1:].astype(np.int8)
+    seen = np.bincount(pairs[inner[1:]], minlength=4).reshape(2, 2).astype(float)
     for _ in range(rounds):
-        unary = potentials(words.features, weights, bias)
-        ahead, back = forward_backward(unary, words.count, moves)
-        p = sigmoid(ahead + back)
-        miss = labels - p
-        expected = np.zeros((2, 2))
-        for some in np.array_split(later, max(1, len(later) >> 17)):
-            a, x = ahead[some - 1], unary[some] + back[some]
-            joint = np.stack([np.full(len(some), moves[0, 0]), moves[0, 1] + x, moves[1, 0] + a, moves[1, 1] + a + x])
-            joint = np.exp(joint - joint.max(axis=0))
+        expected, off, g = np.zeros((2, 2)), 0.0, np.zeros(SLOTS)
+        for rows, own in blocks(words.count):
+            features = words.features[own]
+            unary = potentials(features, weights, bias)
+            ahead, back = forward_backward(unary, words.count[rows], moves)
+            miss = labels[own] - sigmoid(ahead + back)
+            later = np.flatnonzero(inner[own])
+            a, x = ahead[later - 1], unary[later] + back[later]
+            joint = np.stack([np.full(len(later), moves[0, 0]), moves[0, 1] + x, moves[1, 0] + a, moves[1, 1] + a + x])
+            joint = np.exp(joint - joint.max(axis=0, initial=-np.inf))
             expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            off += miss.sum()
+            for i in range(len(PREFIXES)):
+                g += np.bincount(features[:, i], miss, minlength=SLOTS)
         scale = 1 / max(1.0, labels.sum())
-        g = sum(np.bincount(words.features[:, i], miss, minlength=SLOTS) for i in range(len(PREFIXES))) * scale - 1e-5 * weights
+        g = g * scale - 1e-5 * weights
         squares += g * g
         weights += (0.5 * g / np.sqrt(squares)).astype(np.float32)
-        gb = miss.sum() * scale
+        gb = off * scale
         square_bias += gb * gb
         bias += 0.3 * gb / np.sqrt(square_bias)
         gm = (seen - expected) * scale
@@ -275,9 +305,10 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
         return Model(np.zeros(SLOTS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(6))
     rest = np.arange(len(toxic)) % 3 == 0
     own = read_sample(texts.filter(pa.array(~rest)))
-    model = fit_field(own, word_labels(own, toxic[~rest]).astype(np.float64))
+    model = fit_field(own, word_labels(own, toxic[~rest]))
+    del own
     seen = read_sample(texts.filter(pa.array(rest)))
-    x = document_features(marginals(seen, model), seen.count)
+    x = np.concatenate([score_features(seen, model, *run) for run in blocks(seen.count)])
     model.document = logistic(x, toxic[rest].astype(np.float64), np.ones(rest.sum()))
     return model
 
@@ -316,6 +347,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     """
     texts, y, weight = labelled(docs, labels, "toxic", sample)
     model = fit(texts, y == 1)
+    del texts
+    give_back()
+    trim(docs.sparkSession)
     if len(y):  # the sample has more toxic rows than the corpus
         model.document[0] += np.log(max(weight[y == 1].mean() if (y == 1).any() else 1, 1e-9) / max(weight[y == 0].mean() if (y == 0).any() else 1, 1e-9))
     return model

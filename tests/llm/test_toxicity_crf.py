@@ -67,6 +67,41 @@ def test_gradient_raises_likelihood():
     assert np.mean((p >= 0.5) == (marks == 1)) > 0.99 and marks.sum() > 20
 
 
+def test_learning_holds_a_block_at_a_time():
+    """What fit_field holds beside its input is bounded, and the blocks leave the model as it is."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    count = rng.integers(0, 400, 4000)
+    none, n = np.zeros(0, np.int64), int(count.sum())
+    words = m.Words(none, none, none, none, np.repeat(np.arange(len(count)), count), rng.integers(0, m.SLOTS, (n, len(m.PREFIXES)), np.int32), count)
+    labels = (rng.random(n) < 0.1).astype(np.float64)
+    tracemalloc.start()
+    m.fit_field(words, labels, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
+
+
+@pytest.mark.parametrize("block", [1, 50, 1 << 17])
+def test_blocks_leave_the_model_as_it_is(monkeypatch, block):
+    texts, labels = corpus(120, 5)
+    toxic = np.array(labels) == 1
+    texts = pa.array(texts, pa.large_string())
+    whole = m.fit(texts, toxic)
+    monkeypatch.setattr(m, "BLOCK", block)
+    cuts = list(m.blocks(np.array([3, 0, 70, 0])))
+    assert [r.start for r, _ in cuts] + [4] == [0] + [r.stop for r, _ in cuts] and cuts[-1][1].stop == 73
+    again = m.fit(texts, toxic)
+    assert np.allclose(again.weights, whole.weights, atol=1e-5) and np.allclose(again.document, whole.document, atol=1e-4)
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    from gridtable.llm import common
+
+    assert common.trim(spark)
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     words = [f"plain{i}" for i in range(300)]
