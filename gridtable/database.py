@@ -133,8 +133,8 @@ class Database:
         return max((c.txn for c in self.catalog.state(table).changes if c.entries), default=None)
 
     def chunks(self, table: str) -> DataFrame:
-        """Rows for each place that the base rows lie in: the coordinates, last segment's transaction, rows. The
-        coordinates are names of directories and the rows are in the files' footers, so no column is read."""
+        """Rows for each place that the base rows lie in: the coordinates, last segment's transaction, rows. No column
+        is read but those coordinates that are no names of directories."""
         spec, state = self.catalog.spec(table), self.catalog.state(table)
         parts = [reader.segment_places(self.spark, spec, s) for s in state.segments]
         whole = reduce(DataFrame.unionByName, parts) if parts else reader.base_rows(self.spark, spec, state, [], None).select(*spec.coordinates, F.col("__txn").alias("version"), F.lit(0).alias("rows"))

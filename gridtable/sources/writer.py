@@ -20,6 +20,8 @@ from gridtable.spec import ROW_ID, TXN, TableSpec
 
 #: Row buckets up to which a write names those that it touches, and reads no others; beyond, it looks at all.
 LISTED = 1000
+#: Directories that a segment may have however few rows they hold, and rows that each holds on average where there are more.
+FEW, SMALL = 1000, 5000
 
 
 def within(buckets: list[int]) -> Column | None:
@@ -62,15 +64,28 @@ class Writer:
 
     def touched(self, segment: Segment) -> list[int]:
         """The row buckets of a segment, from the names of its directories."""
-        names = (name for name, _ in self.catalog.files.data_files(segment.groups[0]))
-        return sorted({int(n.split("/")[0].removeprefix("__rb=")) for n in names})
-
-    def write_segment(self, rows: DataFrame, txn: int, clustered: bool = False) -> Segment:
-        """Write rows (row id, txn, columns) as a segment: a shuffle by coordinates, files sorted by row id."""
+        names = self.catalog.files.names(segment.groups[0])
+        return sorted(int(n.removeprefix("__rb=")) for n in names if n.startswith("__rb="))
+
+    def axes(self, placed: DataFrame) -> list[str]:
+        """The coordinates that get directories in a segment of ``placed`` (rows with coordinates): the row bucket, and
+        those that follow as long as the directories are few or not small. The others are columns of the files, which
+        are sorted by them, so that the files' statistics say what the directories would."""
+        axes = self.spec.coordinates
+        if len(axes) == 1:
+            return axes
+        places = [F.approx_count_distinct(F.xxhash64(*axes[:k])) for k in range(2, len(axes) + 1)]
+        rows, *found = placed.agg(F.count("*"), *places).first()
+        return axes[: 1 + sum(n <= max(FEW, rows // SMALL) for n in found)]
+
+    def write_segment(self, rows: DataFrame, txn: int, clustered: bool = False, like: DataFrame | None = None) -> Segment:
+        """Write rows (row id, txn, columns) as a segment: a shuffle by the axes that get directories, files sorted by the
+        others and the row id. ``like``: rows with coordinates that lie as these do, to choose the axes by."""
         spec, groups = self.spec, ColumnGroups(self.spec)
         placed = coords.with_coordinates(rows, spec)
+        axes = self.axes(placed if like is None else like)
         if not clustered:
-            placed = placed.repartition(*spec.coordinates)
+            placed = placed.repartition(*axes)
         many = len(groups) > 1
         if many:
             placed = placed.persist()
@@ -79,7 +94,7 @@ class Writer:
             for g in range(len(groups)):
                 path = f"{directory}/g{g}"
                 part = placed.select(ROW_ID, TXN, *groups.columns(g), *spec.coordinates)
-                part.sortWithinPartitions(*spec.coordinates, ROW_ID).write.partitionBy(*spec.coordinates).parquet(path)
+                part.sortWithinPartitions(*spec.coordinates, ROW_ID).write.partitionBy(*axes).parquet(path)
                 paths.append(path)
         finally:
             if many:
@@ -109,14 +124,14 @@ class Writer:
             n = placed.count()
             rows = coords.with_counter(placed, SEQ, catalog.allocate_row_ids(state, n))
         rows = rows.withColumn(TXN, F.lit(txn).cast("long"))
-        segment = self.write_segment(rows, txn, clustered=keyed)
+        segment = self.write_segment(rows, txn, clustered=keyed, like=coords.with_coordinates(df, spec) if keyed else None)
         if staged:
             catalog.files.delete(staged)
         stats, count = self._statistics(segment)
         segment = replace(segment, rows=count)
         changes = list(state.changes)
         if keyed and (state.segments or state.changes) and count:
-            written = self.spark.read.schema(reader.stored_schema(spec, self._statistics_columns(0))).parquet(segment.groups[0])
+            written = reader.scan(self.spark, spec, segment.groups[0], ColumnGroups(spec).columns(0))
             there = reader.base_rows(self.spark, spec, state, [], within(self.touched(segment))).select(ROW_ID, "__rb")
             pending = reader.change_rows(self.spark, spec, state, [])
             old = written.select(ROW_ID, "__rb").join(there, [ROW_ID, "__rb"], "left_semi").select(ROW_ID)
@@ -129,6 +144,10 @@ class Writer:
         catalog.commit(spec.name, replace(state, txn=txn, segments=(*state.segments, segment), changes=tuple(changes), stats=merged, streams=streams))
         return txn
 
+    def count(self, segment: Segment) -> int:
+        """Rows of a segment just written, from its files."""
+        return reader.scan(self.spark, self.spec, segment.groups[0], ColumnGroups(self.spec).columns(0)).count()
+
     def _statistics_columns(self, group: int) -> list[str]:
         names = ColumnGroups(self.spec).columns(group)
         return [c for c in dict.fromkeys(r.column for r in self.spec.range_dimensions) if c in names]
@@ -144,7 +163,7 @@ class Writer:
             for i, c in enumerate(columns):
                 number = coords.as_number(F.col(f"`{c}`"), spec.type_of(c))
                 aggregates += [F.min(number).alias(f"a{i}"), F.max(number).alias(f"b{i}"), F.count(number).alias(f"n{i}")]
-            r = self.spark.read.schema(reader.stored_schema(spec, columns)).parquet(path).agg(*aggregates).first()
+            r = reader.scan(self.spark, spec, path, ColumnGroups(spec).columns(g)).agg(*aggregates).first()
             rows = r["rows"] if g == 0 else rows
             found |= {c: RangeStats(r[f"a{i}"], r[f"b{i}"], r[f"n{i}"]) for i, c in enumerate(columns)}
         return found, rows

@@ -229,6 +229,30 @@ def test_writes_read_the_row_buckets_that_they_touch(spark, tmp_path, monkeypatc
     assert db.select_all("t").filter(Filter.between("id", 0, 6)).count() == 7
 
 
+def test_axes_that_leave_few_rows_in_a_directory_are_columns(spark, tmp_path):
+    """Places of one row each: the files are few, and the same rows are found."""
+    db = Database(spark, str(tmp_path))
+    b = TableBuilder("fine").add_column("id", "int64", False).add_column("kind", "utf8").add_column("n", "int64").chunk_rows(500)
+    db.create_table(b.add_hash_dimension("kind", 3).add_range_dimension("n", 1).with_primary_key_as_row_id("id").build())
+    model = {i: (i, KINDS[i % 4], None if i % 9 == 4 else i * 7 % 1501) for i in range(1500)}
+    frame = lambda ids: spark.createDataFrame([model[i] for i in ids], "id long, kind string, n long")
+    db.insert("fine", frame(range(1500)))
+    assert len(list((tmp_path / "fine" / "data").glob("**/*.parquet"))) <= 9  # 3 row buckets, 3 hash buckets
+    places = {r["__rg0"]: r["n"] for r in db.chunks("fine").groupBy("__rg0").agg(F.sum("rows").alias("n")).collect()}
+    assert places == {None: sum(n is None for _, _, n in model.values())} | {n: 1 for _, _, n in model.values() if n is not None}
+    q = db.select_all("fine").filter(Filter.between("n", 40, 90)).execute()
+    assert "GreaterThanOrEqual(__rg0,40)" in q._jdf.queryExecution().executedPlan().toString()
+    model |= {i: (i, "new", -i) for i in range(100, 120)}
+    db.update_rows("fine", frame(range(100, 120)))
+    db.delete_rows("fine", range(700, 720))
+    model = {i: r for i, r in model.items() if not 700 <= i < 720}
+    for _ in range(2):
+        assert {tuple(r) for r in db.select_all("fine").execute().collect()} == set(model.values())
+        for p, keep in ((Filter.between("n", -110, 90), lambda r: r[2] is not None and -110 <= r[2] <= 90), ([Filter.eq("kind", "a"), Filter.lt("n", 300)], lambda r: r[1] == "a" and r[2] is not None and r[2] < 300), ([Filter.is_null("n")], lambda r: r[2] is None)):
+            assert {tuple(r) for r in db.select_all("fine").filter(p).execute().collect()} == set(filter(keep, model.values()))
+        db.compact("fine")
+
+
 def test_row_ids_of_the_counter(spark, tmp_path):
     """The source gives other rows each time that it is read; each row is stored once, under a number of its own."""
     db = Database(spark, str(tmp_path))
