@@ -42,8 +42,10 @@ def compact(writer: Writer, most_segments: int | None = None) -> CompactionResul
         return CompactionResult.noop()
     txn = state.txn + 1
     files = catalog.files
-    before = sum(size for s in state.segments for g in s.groups for _, size in files.data_files(g))
+    there = {g: files.data_files(g) for s in state.segments for g in s.groups}
+    before = sum(size for listed in there.values() for _, size in listed)
     whole = reader.read(spark, spec, state, spec.names)
+    like = reader.base_rows(spark, spec, state, [], None)
     dirty: list[int] = []
     if not everything:
         changed = reader.change_rows(spark, spec, state, []).select(ROW_ID).distinct()
@@ -52,16 +54,16 @@ def compact(writer: Writer, most_segments: int | None = None) -> CompactionResul
         everything = len(found) > LISTED  # more than can be named: all are rewritten
         dirty = sorted(r["b"] for r in found)
         if not everything:
-            whole = whole.where(bucket.isin(dirty))
-    segment = writer.write_segment(whole.withColumn(TXN, F.lit(txn).cast("long")), txn)
+            whole, like = reader.read(spark, spec, state, spec.names, buckets=dirty), like.where(F.col("__rb").isin(dirty))
+    segment = writer.write_segment(whole.withColumn(TXN, F.lit(txn).cast("long")), txn, like=like)
     written = [f for g in segment.groups for f in files.data_files(g)]
-    count = spark.read.schema(reader.stored_schema(spec, [])).parquet(segment.groups[0]).count()
+    count = writer.count(segment)
     segment = replace(segment, rows=count)
     kept = [] if everything else [replace(s, without=tuple(sorted({*s.without, *dirty}))) for s in state.segments]
     kept = [replace(s, without=tuple(sorted(set(s.without) & own))) for s in kept if (own := set(writer.touched(s))) - set(s.without)]
     catalog.commit(spec.name, replace(state, txn=txn, segments=(*kept, *([segment] if count else [])), changes=()))
     after = sum(size for _, size in written)
-    after += sum(size for s in kept for g in s.groups for name, size in files.data_files(g) if not any(f"__rb={b}/" in name for b in s.without))
+    after += sum(size for s in kept for g in s.groups for name, size in there[g] if not any(f"__rb={b}/" in name for b in s.without))
     return CompactionResult(len(written), before, after, len(state.changes))
 
 
@@ -79,11 +81,11 @@ def merge_segments(writer: Writer, most: int) -> CompactionResult:
     small = set(by_size[: len(by_size) - max(0, most // 2 - 1)])
     chosen = replace(state, segments=tuple(s for s in state.segments if s in small))
     rows = reader.base_rows(writer.spark, spec, chosen, spec.names, None).select(ROW_ID, TXN, *spec.names)
-    segment = writer.write_segment(rows, state.txn + 1)
+    segment = writer.write_segment(rows, state.txn + 1, like=reader.base_rows(writer.spark, spec, chosen, [], None))
     files = catalog.files
     before = sum(size for s in small for g in s.groups for _, size in files.data_files(g))
     written = [f for g in segment.groups for f in files.data_files(g)]
-    segment = replace(segment, rows=writer.spark.read.schema(reader.stored_schema(spec, [])).parquet(segment.groups[0]).count())
+    segment = replace(segment, rows=writer.count(segment))
     catalog.commit(spec.name, replace(state, txn=state.txn + 1, segments=(*(s for s in state.segments if s not in small), segment)))
     return CompactionResult(len(written), before, sum(size for _, size in written), 0)
 

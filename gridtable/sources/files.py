@@ -96,15 +96,18 @@ class Files:
         return sorted((f"{path}/{s.getPath().getName()}", s.getModificationTime()) for s in self._fs.listStatus(self._of(path)) if s.isDirectory())
 
     def data_files(self, path: str) -> list[tuple[str, int]]:
-        """Paths below ``path``, relative to it, and sizes of the Parquet files there."""
-        found, base = [], self._of(path)
+        """Paths below ``path``, relative to it, and sizes of the Parquet files there. By listStatus: listFiles asks for
+        each file's owner and blocks too, which on a local disk starts a process for each."""
         if not self.exists(path):
             return []
-        prefix = self._fs.makeQualified(base).toString().rstrip("/") + "/"
-        each = self._fs.listFiles(base, True)
-        while each.hasNext():
-            status = each.next()
-            name = status.getPath().toString().removeprefix(prefix)
-            if name.endswith(".parquet"):
-                found.append((name, status.getLen()))
+        found, below = [], [("", self._of(path))]
+        while below:
+            prefix, directory = below.pop()
+            for status in self._fs.listStatus(directory):
+                inner = status.getPath()
+                name = prefix + inner.getName()
+                if name.endswith(".parquet"):
+                    found.append((name, status.getLen()))
+                elif status.isDirectory():
+                    below.append((f"{name}/", inner))
         return sorted(found)

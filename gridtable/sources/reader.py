@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtable.functions import coords
 from gridtable.operators.rows import OP, SEQ, apply_changes, vertical_join
 from gridtable.plans.groups import ColumnGroups
 from gridtable.plans.predicates import Predicate, columns_of, condition, derive
@@ -17,7 +18,7 @@ from gridtable.spec import ROW_ID, TXN, TableSpec
 
 
 def stored_schema(spec: TableSpec, columns: list[str]) -> T.StructType:
-    """Fields of the files of a column group and of its directories."""
+    """Fields of the files of a column group and of its directories; the coordinates are in either."""
     fields = [T.StructField(ROW_ID, T.LongType()), T.StructField(TXN, T.LongType())]
     fields += [T.StructField(c, spec.type_of(c)) for c in columns]
     return T.StructType(fields + [T.StructField(c, T.LongType()) for c in spec.coordinates])
@@ -70,22 +71,26 @@ def change_rows(spark: SparkSession, spec: TableSpec, state: State, columns: lis
     return spark.read.schema(schema).parquet(*[c.path for c in state.changes])
 
 
-def read(spark: SparkSession, spec: TableSpec, state: State, columns: list[str], where: Predicate | None = None) -> DataFrame:
-    """(row id, columns, and others) of the rows of ``state`` that ``where`` keeps.
+def read(spark: SparkSession, spec: TableSpec, state: State, columns: list[str], where: Predicate | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """(row id, columns, and others) of the rows of ``state`` that ``where`` keeps, of some row buckets if they are named.
 
     Changed rows are outside the partitions, so only the base is pruned by what the predicate implies;
     the predicate itself is applied to all, and Spark pushes it into the base scan.
     """
     wanted = list(dict.fromkeys([*columns, *(c for c in spec.names if c in columns_of(where))]))
-    whole = base_rows(spark, spec, state, wanted, derive(where, spec))
+    implied = derive(where, spec) if buckets is None else F.col("__rb").isin(buckets)
+    whole = base_rows(spark, spec, state, wanted, implied)
     if state.changes:
-        whole = apply_changes(whole.select(ROW_ID, TXN, *wanted), change_rows(spark, spec, state, wanted), sum(c.entries for c in state.changes))
+        changes = change_rows(spark, spec, state, wanted)
+        if buckets is not None:
+            changes = changes.where(coords.row_bucket(F.col(ROW_ID), spec).isin(buckets))
+        whole = apply_changes(whole.select(ROW_ID, TXN, *wanted), changes, sum(c.entries for c in state.changes))
     return whole if where is None else whole.where(condition(where, spec))
 
 
 def segment_places(spark: SparkSession, spec: TableSpec, segment: Segment) -> DataFrame:
-    """(coordinates, version, rows) of one segment; Spark takes the rows from the files' footers."""
-    rows = scan(spark, spec, segment.groups[0], [])
+    """(coordinates, version, rows) of one segment; where all are directories Spark takes the rows from the files' footers."""
+    rows = scan(spark, spec, segment.groups[0], ColumnGroups(spec).columns(0))
     if segment.without:
         rows = rows.where(~F.col("__rb").isin(list(segment.without)))
     return rows.groupBy(*spec.coordinates).agg(F.count("*").alias("rows")).withColumn("version", F.lit(segment.txn).cast("long"))
