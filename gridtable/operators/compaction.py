@@ -85,7 +85,7 @@ def merge_segments(writer: Writer, most: int) -> CompactionResult:
     files = catalog.files
     before = sum(size for s in small for g in s.groups for _, size in files.data_files(g))
     written = [f for g in segment.groups for f in files.data_files(g)]
-    segment = replace(segment, rows=writer.count(segment))
+    segment = replace(segment, rows=writer.count(segment), merged=True)
     catalog.commit(spec.name, replace(state, txn=state.txn + 1, segments=(*(s for s in state.segments if s not in small), segment)))
     return CompactionResult(len(written), before, sum(size for _, size in written), 0)
 

@@ -19,12 +19,14 @@ from gridtable.spec import TableSpec
 
 @dataclass(frozen=True)
 class Segment:
-    """Rows written by one transaction: a directory for each column group. ``without``: row buckets that later segments replace."""
+    """Rows written by one transaction: a directory for each column group. ``without``: row buckets that later segments
+    replace. ``merged``: rows keep the transactions of several segments, and so one row id can be there twice."""
 
     txn: int
     groups: tuple[str, ...]
     rows: int
     without: tuple[int, ...] = ()
+    merged: bool = False
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ class State:
         d = json.loads(text)
         return cls(
             d["txn"],
-            tuple(Segment(s["txn"], tuple(s["groups"]), s["rows"], tuple(s["without"])) for s in d["segments"]),
+            tuple(Segment(s["txn"], tuple(s["groups"]), s["rows"], tuple(s["without"]), s.get("merged", True)) for s in d["segments"]),
             tuple(Change(**c) for c in d["changes"]),
             {k: RangeStats(**v) for k, v in d["stats"].items()},
             d["next_row_id"],

@@ -56,8 +56,8 @@ def base_rows(spark: SparkSession, spec: TableSpec, state: State, columns: list[
             if s.without:
                 part = part.where(~F.col("__rb").isin(list(s.without)))
             parts.append(part if implied is None else part.where(implied))
-        # The other coordinates follow from the row, and can be null.
-        segments.append(parts[0] if len(parts) == 1 else vertical_join(parts, [ROW_ID, TXN, "__rb"]))
+        # The coordinates follow from the row; so does the transaction, but where segments were merged.
+        segments.append(parts[0] if len(parts) == 1 else vertical_join(parts, [ROW_ID, TXN] if s.merged else [ROW_ID]))
     if not segments:
         return spark.createDataFrame([], stored_schema(spec, columns))
     return reduce(DataFrame.unionByName, segments)

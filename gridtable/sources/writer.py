@@ -78,15 +78,16 @@ class Writer:
         rows, *found = placed.agg(F.count("*"), *places).first()
         return axes[: 1 + sum(n <= max(FEW, rows // SMALL) for n in found)]
 
-    def write_segment(self, rows: DataFrame, txn: int, clustered: bool = False, like: DataFrame | None = None) -> Segment:
+    def write_segment(self, rows: DataFrame, txn: int, clustered: bool = False, stored: bool = False, like: DataFrame | None = None) -> Segment:
         """Write rows (row id, txn, columns) as a segment: a shuffle by the axes that get directories, files sorted by the
-        others and the row id. ``like``: rows with coordinates that lie as these do, to choose the axes by."""
+        others and the row id. ``clustered``: the rows lie by row bucket already; ``stored``: they are cheap to read again;
+        ``like``: rows with coordinates that lie as these do, to choose the axes by."""
         spec, groups = self.spec, ColumnGroups(self.spec)
         placed = coords.with_coordinates(rows, spec)
         axes = self.axes(placed if like is None else like)
         if not clustered:
             placed = placed.repartition(*axes)
-        many = len(groups) > 1
+        many = len(groups) > 1 and not stored
         if many:
             placed = placed.persist()
         paths, directory = [], self._directory(txn, "data")
@@ -108,7 +109,7 @@ class Writer:
         state = catalog.state(spec.name)
         if batch and state.streams.get(batch[0], -1) >= batch[1]:
             return state.txn
-        txn, staged = state.txn + 1, None
+        txn, staged, clustered = state.txn + 1, None, True
         df = fitted(df, spec, True, ignore_extra)
         keyed = spec.row_id.kind != "snowflake" or ROW_ID in df.columns
         if keyed:
@@ -121,10 +122,11 @@ class Writer:
             placed = df.withColumn(SEQ, F.monotonically_increasing_id())
             placed.write.parquet(staged)
             placed = self.spark.read.schema(placed.schema).parquet(staged)
-            n = placed.count()
+            n, parts = placed.agg(F.count("*"), F.approx_count_distinct(F.shiftright(SEQ, 33))).first()
+            clustered = n >= parts * spec.chunk_rows  # a part's rows have consecutive numbers, and so few row buckets
             rows = coords.with_counter(placed, SEQ, catalog.allocate_row_ids(state, n))
         rows = rows.withColumn(TXN, F.lit(txn).cast("long"))
-        segment = self.write_segment(rows, txn, clustered=keyed, like=coords.with_coordinates(df, spec) if keyed else None)
+        segment = self.write_segment(rows, txn, clustered=clustered, stored=not keyed and clustered, like=coords.with_coordinates(df, spec) if keyed else None)
         if staged:
             catalog.files.delete(staged)
         stats, count = self._statistics(segment)

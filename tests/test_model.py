@@ -278,6 +278,37 @@ def test_row_ids_of_the_counter(spark, tmp_path):
     assert not (tmp_path / "c" / "staged").exists() or not list((tmp_path / "c" / "staged").iterdir())
 
 
+def test_counted_rows_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    """Numbered parts hold whole row buckets but for their ends, so no row is moved or kept for the column groups."""
+    db = Database(spark, str(tmp_path))
+    b = TableBuilder("c").add_column("x", "int64").add_column("y", "int64").add_column("z", "int64").add_column_group(["x"]).add_column_group(["y", "z"])
+    db.create_table(b.chunk_rows(10).with_snowflake_id().build())
+    rows = spark.range(0, 200, 1, 4).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"), (F.col("id") % 3).alias("z"))
+    for method in ("repartition", "persist"):
+        monkeypatch.setattr(type(rows), method, lambda *_, **__: pytest.fail("rows are moved or kept"))
+    db.insert("c", rows)
+    found = db.select_all("c").with_row_id().execute()
+    assert "hashpartitioning(__txn" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "__txn" not in plan.split("SortMergeJoin" if "SortMergeJoin" in plan else "HashJoin")[1].split("\n")[0]
+    got = sorted(tuple(r) for r in found.collect())
+    assert [r[0] for r in got] == list(range(200)) and sorted(r[1:] for r in got) == [(i, 2 * i, i % 3) for i in range(200)]
+    assert len(list((tmp_path / "c" / "data").glob("*/g0/**/*.parquet"))) <= 20 + 4
+
+
+def test_column_groups_of_merged_segments(spark, tmp_path):
+    """An id is there twice, under two transactions; its column groups do not mix."""
+    db = Database(spark, str(tmp_path))
+    db.create_table(spec(True))
+    model = {}
+    for k in range(3):
+        new = rows(random.Random(k), range(4 * k, 4 * k + 9))
+        db.insert("t", spark.createDataFrame(new, SCHEMA))
+        model |= {r[0]: r for r in new}
+    db.merge_segments("t", 1)
+    assert len(db.catalog.state("t").segments) == 1
+    for again in (db, Database(spark, str(tmp_path))):
+        assert sorted(map(tuple, again.select_all("t").execute().collect())) == [model[i] for i in sorted(model)]
+
+
 def test_duplicates_in_one_batch(spark, tmp_path):
     db = Database(spark, str(tmp_path))
     db.create_table(spec())
