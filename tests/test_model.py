@@ -267,6 +267,34 @@ def test_axes_that_leave_few_rows_in_a_directory_are_columns(spark, tmp_path):
         db.compact("fine")
 
 
+def test_a_stream_of_growing_keys_reads_no_other_segments(spark, tmp_path, monkeypatch):
+    """Segments whose ids are not met may be unreadable, the log is not listed, and the segments stay few."""
+    import pyarrow as pa
+
+    from gridtable import StreamConfig
+
+    db = Database(spark, str(tmp_path))
+    db.create_table(TableBuilder("s").add_column("id", "int64", False).add_column("x", "int64").with_primary_key_as_row_id("id").build())
+    batch = lambda ids: pa.table({"id": pa.array(ids, pa.int64()), "x": pa.array([i * 2 for i in ids], pa.int64())})
+    stream = db.stream_inserter("s", StreamConfig(10), most_segments=4)
+    stream.write(batch(range(10)))
+    monkeypatch.setattr(db.catalog, "transactions", lambda table: pytest.fail("the log is listed"))
+    broken = next((tmp_path / "s" / "data").glob("*/g0/**/*.parquet"))
+    kept = broken.read_bytes()
+    broken.write_bytes(b"broken" * 200)
+    for crc in (tmp_path / "s" / "data").glob("*/g0/**/.*.crc"):
+        crc.unlink()
+    stream.write(batch(range(10, 22)))
+    broken.write_bytes(kept)
+    for k in range(2, 7):
+        stream.write(batch(range(12 * k, 12 * k + 12)))
+        assert len(db.catalog.state("s").segments) <= 4
+    stream.write(batch(range(5, 17)))  # take their places
+    assert (stream.flush_count, stream.total_flushed_rows) == (8, 10 + 12 * 7)
+    got = sorted(r.id for r in db.select_all("s").execute().collect())
+    assert got == [*range(22), *range(24, 84)]
+
+
 def test_row_ids_of_the_counter(spark, tmp_path):
     """The source gives other rows each time that it is read; each row is stored once, under a number of its own."""
     db = Database(spark, str(tmp_path))
